@@ -217,3 +217,101 @@ FROM wk GROUP BY channel, campaign_id, campaign_name"""))
 def q_series_eligibility(spark, sf_dir):
     keys = kpis.GRAINS["campaign"]
     return kpis.series_eligibility(kpis.weekly(unified(spark, sf_dir), "campaign"), keys)
+
+
+# ---------------------------------------------------------------------------
+# data quality
+
+from ..operators import quality  # noqa: E402
+
+LEAK = "spend > 0 AND revenue = 0"
+
+
+def _dq(name: str, fn, sql: str):
+    register(name, sql)(lambda spark, sf_dir: fn(unified(spark, sf_dir)))
+
+
+_dq("dq_date_range", quality.date_range, S.with_fixtures(select="""
+SELECT channel, MIN(date) AS min_date, MAX(date) AS max_date FROM unified WHERE channel IS NOT NULL GROUP BY channel"""))
+
+_dq("dq_zero_revenue_campaigns", quality.zero_revenue_campaigns, S.with_fixtures(select=f"""
+SELECT DISTINCT campaign_name FROM unified WHERE {LEAK}"""))
+
+_dq("dq_zero_revenue_top_spend", quality.zero_revenue_top_spend, S.with_fixtures(
+    f"g AS (SELECT channel, campaign_name, {S.xsum('spend')} AS spend FROM unified WHERE {LEAK} "
+    "GROUP BY channel, campaign_name)",
+    select=f"""SELECT channel, campaign_name, {S.rnd('spend')} AS spend FROM g
+ORDER BY spend DESC, channel ASC NULLS FIRST, campaign_name ASC NULLS FIRST LIMIT 10"""))
+
+_DUPS = ("d AS (SELECT channel, campaign_id, date, CAST(COUNT(*) AS BIGINT) AS n_rows FROM unified "
+         "GROUP BY channel, campaign_id, date HAVING COUNT(*) > 1)")
+
+_dq("dq_duplicate_keys", quality.duplicate_keys, S.with_fixtures(_DUPS, select="SELECT * FROM d"))
+
+_dq("dq_duplicate_rows", quality.duplicate_rows, S.with_fixtures(_DUPS, select="""
+SELECT CAST(COALESCE(SUM(n_rows), 0) AS BIGINT) AS duplicate_rows FROM d"""))
+
+_dq("dq_counts", quality.counts, S.with_fixtures(select=f"""
+SELECT CAST(COUNT(*) AS BIGINT) AS total_records,
+       CAST(COUNT(*) FILTER (WHERE {LEAK}) AS BIGINT) AS zero_revenue_rows,
+       CAST(COUNT(DISTINCT CASE WHEN {LEAK} THEN campaign_name END) AS BIGINT) AS zero_revenue_campaign_count,
+       CAST(COUNT(*) FILTER (WHERE spend < 0) AS BIGINT) AS negative_spend_rows,
+       CAST(COUNT(*) FILTER (WHERE revenue < 0) AS BIGINT) AS negative_revenue_rows,
+       CAST(COUNT(*) FILTER (WHERE COALESCE(revenue_is_estimated, FALSE)) AS BIGINT) AS estimated_revenue_rows,
+       CAST(COUNT(*) FILTER (WHERE spend = 0) AS BIGINT) AS zero_spend_rows,
+       CAST(COUNT(*) FILTER (WHERE spend > 0 AND revenue / spend > 50) AS BIGINT) AS extreme_roas_rows
+FROM unified"""))
+
+_dq("dq_record_counts", quality.record_counts, S.with_fixtures(select="""
+SELECT channel, CAST(COUNT(*) AS BIGINT) AS records FROM unified WHERE channel IS NOT NULL GROUP BY channel"""))
+
+_MISSING_COLS = ["date", "channel", "campaign_id", "campaign_name", "campaign_type", "spend", "revenue", "clicks",
+                 "impressions", "conversions", "daily_budget", "revenue_is_estimated", "revenue_source",
+                 "roas", "cpc", "cvr"]
+_dq("dq_missing_values", quality.missing_values, S.with_fixtures(
+    "m AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS missing_count "
+        "FROM unified" for c in _MISSING_COLS) + ")",
+    select="SELECT * FROM m WHERE missing_count > 0"))
+
+_OBS = "obs AS (SELECT DISTINCT channel, date FROM unified WHERE channel IS NOT NULL AND date IS NOT NULL)"
+
+_dq("dq_missing_dates", quality.missing_dates, S.with_fixtures(_OBS, """
+cal AS (SELECT channel, CAST(unnest(generate_series(MIN(date), MAX(date), INTERVAL 1 DAY)) AS DATE) AS date
+        FROM obs GROUP BY channel)""", select="""
+SELECT c.channel, c.date AS missing_date FROM cal c ANTI JOIN obs o ON c.channel = o.channel AND c.date = o.date"""))
+
+_dq("dq_missing_date_counts", quality.missing_date_counts, S.with_fixtures(_OBS, select="""
+SELECT channel, CAST(datediff('day', MIN(date), MAX(date)) + 1 - COUNT(*) AS BIGINT) AS missing_dates
+FROM obs GROUP BY channel"""))
+
+_dq("dq_coverage_mismatch", quality.coverage_mismatch, S.with_fixtures(select="""
+SELECT channel, CAST(datediff('day', (SELECT MIN(date) FROM unified), MIN(date)) AS INTEGER)
+                AS starts_after_global_min_days,
+       CAST(datediff('day', MAX(date), (SELECT MAX(date) FROM unified)) AS INTEGER) AS ends_before_global_max_days
+FROM unified WHERE channel IS NOT NULL GROUP BY channel"""))
+
+_dq("dq_estimated_by_channel", quality.estimated_by_channel, S.with_fixtures(select="""
+SELECT channel, CAST(COUNT(*) AS BIGINT) AS estimated_rows FROM unified
+WHERE channel IS NOT NULL AND COALESCE(revenue_is_estimated, FALSE) GROUP BY channel"""))
+
+register("dq_revenue_sources", S.with_fixtures(select=f"""
+SELECT channel, {S.sources_text()} AS sources_text FROM unified WHERE channel IS NOT NULL GROUP BY channel"""))(
+    lambda spark, sf_dir: quality.revenue_sources(unified(spark, sf_dir)).select("channel", "sources_text"))
+
+_dq("dq_zero_spend_by_channel", quality.zero_spend_by_channel, S.with_fixtures(select="""
+SELECT channel, CAST(COUNT(*) AS BIGINT) AS zero_spend_rows FROM unified
+WHERE channel IS NOT NULL AND spend = 0 GROUP BY channel"""))
+
+_dq("dq_extreme_roas_top", quality.extreme_roas_top, S.with_fixtures(
+    "p AS (SELECT *, revenue / spend AS row_roas FROM unified WHERE spend > 0)",
+    select=f"""
+SELECT channel, campaign_name, strftime(date, '%Y-%m-%d') AS date, {S.rnd('spend')} AS spend,
+       {S.rnd('revenue')} AS revenue, {S.rnd('row_roas')} AS row_roas
+FROM p WHERE row_roas > 50
+ORDER BY p.row_roas DESC, channel ASC NULLS FIRST, campaign_name ASC NULLS FIRST, p.date ASC NULLS FIRST,
+         campaign_id ASC NULLS FIRST, p.spend DESC
+LIMIT 10"""))
+
+_dq("estimated_channels", quality.estimated_channels, S.with_fixtures(select="""
+SELECT DISTINCT channel FROM unified WHERE channel IS NOT NULL AND COALESCE(revenue_is_estimated, FALSE)"""))
