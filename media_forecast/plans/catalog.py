@@ -315,3 +315,208 @@ LIMIT 10"""))
 
 _dq("estimated_channels", quality.estimated_channels, S.with_fixtures(select="""
 SELECT DISTINCT channel FROM unified WHERE channel IS NOT NULL AND COALESCE(revenue_is_estimated, FALSE)"""))
+
+
+# ---------------------------------------------------------------------------
+# features, models, scenarios
+
+from ..operators import features, models, scenarios  # noqa: E402
+from . import model_sql as M  # noqa: E402
+
+CH = ["channel"]
+CAMP = kpis.GRAINS["campaign"]
+
+
+def weekly_of(spark, sf_dir, grain="channel"):
+    return kpis.weekly(unified(spark, sf_dir), grain)
+
+
+def _features_sql(keys):
+    k = ", ".join(keys)
+    mean = "CAST(SUM(CAST(spend AS DECIMAL(18,4))) OVER p AS DOUBLE) / CAST(COUNT(spend) OVER p AS DOUBLE)"
+    roll = ("CAST(SUM(CAST(spend AS DECIMAL(18,4))) OVER r AS DOUBLE) / CAST(COUNT(spend) OVER r AS DOUBLE)")
+    return S.with_fixtures(weekly_cte(keys), select=f"""
+SELECT *, CAST(month(week) AS INTEGER) AS month, CAST(quarter(week) AS INTEGER) AS quarter,
+       CAST(weekofyear(week) AS INTEGER) AS week_of_year,
+       COALESCE(LAG(spend, 1) OVER o, {mean}) AS spend_lag1,
+       COALESCE(LAG(spend, 4) OVER o, {mean}) AS spend_lag4,
+       {roll} AS spend_rolling4
+FROM wk
+WINDOW p AS (PARTITION BY {k}), o AS (PARTITION BY {k} ORDER BY week),
+       r AS (PARTITION BY {k} ORDER BY week ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""")
+
+
+@register("features_weekly", _features_sql(CAMP))
+def q_features_weekly(spark, sf_dir):
+    return features.build_features(weekly_of(spark, sf_dir, "campaign"), CAMP)
+
+
+@register("promo_flags", S.with_fixtures(weekly_cte(CH), select="""
+SELECT *, CAST(weekofyear(week) AS INTEGER) AS week_of_year,
+       CAST(CAST(weekofyear(week) AS INTEGER) BETWEEN 47 AND 50 AS INTEGER) AS is_promo FROM wk"""))
+def q_promo_flags(spark, sf_dir):
+    return features.promo_flags(weekly_of(spark, sf_dir))
+
+
+_N, _EQ, _SCALE = S.horizon_sql()
+
+
+@register("future_week_grid", S.with_fixtures(weekly_cte(CH), M.scenarios_cte(), f"""
+g AS (SELECT l.channel, h.horizon_days, l.last_week, {_N} AS n_future, {_EQ} AS equivalent_weeks,
+             {_SCALE} AS horizon_scale
+      FROM (SELECT channel, MAX(week) AS last_week FROM wk GROUP BY channel) l
+      CROSS JOIN (SELECT DISTINCT horizon_days FROM sc) h)""", """
+e AS (SELECT *, CAST(unnest(generate_series(1, n_future)) AS INTEGER) AS step FROM g)""", select="""
+SELECT channel, horizon_days, step, n_future, equivalent_weeks, horizon_scale,
+       CAST(last_week + 7 * step AS DATE) AS week FROM e"""))
+def q_future_week_grid(spark, sf_dir):
+    return features.future_week_grid(weekly_of(spark, sf_dir), CH, scenarios.default_scenarios(spark))
+
+
+def _future_features_sql():
+    tails = ", ".join(
+        f"COALESCE(CAST(SUM(CASE WHEN rn <= {j} THEN CAST(spend AS DECIMAL(18,4)) END) AS DOUBLE), 0.0) AS tail{j}"
+        for j in range(1, 5))
+    w_fut = "LEAST(step - 1, 4)"
+    h_hist = f"LEAST(n_hist, 4 - {w_fut})"
+    tail_sum = (f"CASE WHEN {h_hist} = 1 THEN tail1 WHEN {h_hist} = 2 THEN tail2 WHEN {h_hist} = 3 THEN tail3 "
+                f"WHEN {h_hist} = 4 THEN tail4 ELSE {S.dbl(0.0)} END")
+    cnt = f"({w_fut} + {h_hist})"
+    mean4 = (f"CASE WHEN {cnt} > 0 THEN ({tail_sum} + {w_fut} * weekly_spend) / CAST({cnt} AS DOUBLE) "
+             "ELSE weekly_spend END")
+    return S.with_fixtures(weekly_cte(CH), M.scenarios_cte(), f"""
+rk AS (SELECT channel, week, spend, ROW_NUMBER() OVER (PARTITION BY channel ORDER BY week DESC) AS rn FROM wk)""",
+                           f"""
+tl AS (SELECT channel, COUNT(*) AS n_hist, MAX(week) AS last_week, MAX(CASE WHEN rn = 1 THEN spend END) AS last_spend,
+              {tails} FROM rk GROUP BY channel)""", f"""
+s1 AS (SELECT *, {_N} AS n_future, {_EQ} AS equivalent_weeks, {_SCALE} AS horizon_scale FROM sc)""", f"""
+s2 AS (SELECT *, CASE WHEN equivalent_weeks <> 0 THEN planned_spend / equivalent_weeks ELSE {S.dbl(0.0)} END
+              AS weekly_spend FROM s1)""", """
+e AS (SELECT s2.*, tl.n_hist, tl.last_week, tl.last_spend, tl.tail1, tl.tail2, tl.tail3, tl.tail4,
+             CAST(unnest(generate_series(1, n_future)) AS INTEGER) AS step
+      FROM s2 JOIN tl ON s2.channel = tl.channel)""", select=f"""
+SELECT scenario_id, channel, horizon_days, step, CAST(last_week + 7 * step AS DATE) AS week, weekly_spend AS spend,
+       CAST(month(CAST(last_week + 7 * step AS DATE)) AS INTEGER) AS month,
+       CAST(quarter(CAST(last_week + 7 * step AS DATE)) AS INTEGER) AS quarter,
+       CAST(weekofyear(CAST(last_week + 7 * step AS DATE)) AS INTEGER) AS week_of_year,
+       CASE WHEN step = 1 AND n_hist > 0 THEN last_spend ELSE weekly_spend END AS spend_lag1,
+       {mean4} AS spend_lag4, {mean4} AS spend_rolling4, horizon_scale
+FROM e""")
+
+
+@register("future_features", _future_features_sql())
+def q_future_features(spark, sf_dir):
+    return features.future_features(weekly_of(spark, sf_dir), CH, scenarios.default_scenarios(spark))
+
+
+@register("spend_response_fit", S.with_fixtures(weekly_cte(CAMP), *M.fit_ctes(CAMP), select="""
+SELECT channel, campaign_id, campaign_name, n_weeks, intercept, slope, sigma, eligible FROM fit"""))
+def q_spend_response_fit(spark, sf_dir):
+    return models.fit_spend_response(weekly_of(spark, sf_dir, "campaign"), CAMP).select(
+        *CAMP, "n_weeks", "intercept", "slope", "sigma", "eligible")
+
+
+@register("residual_bands", S.with_fixtures(weekly_cte(CH), *M.fit_ctes(CH), select="""
+SELECT channel, r10, r50, r90 FROM fit"""))
+def q_residual_bands(spark, sf_dir):
+    return models.fit_spend_response(weekly_of(spark, sf_dir), CH).select("channel", "r10", "r50", "r90")
+
+
+def _scored(spark, sf_dir):
+    fit = models.fit_spend_response(weekly_of(spark, sf_dir), CH)
+    return models.score_horizon(fit, CH, scenarios.default_scenarios(spark))
+
+
+_SCORED_SQL = [weekly_cte(CH), *M.fit_ctes(CH), M.scenarios_cte(), *M.score_ctes(CH, "fit", "sc")]
+_REQ = "scenario_id, channel, planned_spend, horizon_days"
+
+
+@register("spend_response_forecast", S.with_fixtures(*_SCORED_SQL, select=f"""
+SELECT {_REQ}, p_low, p_median, p_high FROM scored"""))
+def q_spend_response_forecast(spark, sf_dir):
+    return _scored(spark, sf_dir).select(*_REQ.split(", "), "p_low", "p_median", "p_high")
+
+
+@register("ordered_quantiles", S.with_fixtures(*_SCORED_SQL, select=f"""
+SELECT {_REQ}, q_low, q_median, q_high FROM scored"""))
+def q_ordered_quantiles(spark, sf_dir):
+    return _scored(spark, sf_dir).select(*_REQ.split(", "), "q_low", "q_median", "q_high")
+
+
+_LO, _MD, _HI = M.combine_sql(caps=False)
+
+
+@register("combine_bands", S.with_fixtures(*_SCORED_SQL, select=f"""
+SELECT {_REQ}, p_low, p_median, p_high, q_low, q_median, q_high,
+       {S.rnd(_LO)} AS revenue_low, {S.rnd(_MD)} AS revenue_median, {S.rnd(_HI)} AS revenue_high
+FROM scored WHERE intercept IS NOT NULL"""))
+def q_combine_bands(spark, sf_dir):
+    s = _scored(spark, sf_dir).filter(F.col("intercept").isNotNull())
+    comb = scenarios.combine_bands(*[F.col(c) for c in ("p_low", "p_median", "p_high", "q_low", "q_median", "q_high")])
+    return s.select(*_REQ.split(", "), "p_low", "p_median", "p_high", "q_low", "q_median", "q_high",
+                    *[c.alias(n) for n, c in comb.items()])
+
+
+def forecast_of(spark, sf_dir):
+    fit = models.fit_spend_response(weekly_of(spark, sf_dir), CH)
+    return scenarios.scenario_forecast(fit, scenarios.default_scenarios(spark), CH)
+
+
+_FC_SQL = [weekly_cte(CH), *M.fit_ctes(CH), M.scenarios_cte(), *M.forecast_ctes(CH, "fit")]
+
+
+@register("scenario_forecast", S.with_fixtures(*_FC_SQL, select="SELECT * FROM fc"))
+def q_scenario_forecast(spark, sf_dir):
+    return forecast_of(spark, sf_dir)
+
+
+@register("scenario_blended", S.with_fixtures(*_FC_SQL, M.blended_cte(), select="SELECT * FROM bl"))
+def q_scenario_blended(spark, sf_dir):
+    return scenarios.blended(forecast_of(spark, sf_dir))
+
+
+_PCT = (f"CASE WHEN revenue_median > 0 THEN (revenue_high - revenue_low) / revenue_median * {S.dbl(100.0)} "
+        f"ELSE {S.dbl(0.0)} END")
+
+
+@register("risk_uncertainty", S.with_fixtures(*_FC_SQL, M.blended_cte(), select=f"""
+SELECT scenario_id, {S.rnd(_PCT)} AS uncertainty_pct,
+       CASE WHEN {_PCT} > 40 THEN 'HIGH' WHEN {_PCT} > 20 THEN 'MODERATE' ELSE 'LOW' END AS uncertainty_level
+FROM bl"""))
+def q_risk_uncertainty(spark, sf_dir):
+    return scenarios.risk_uncertainty(scenarios.blended(forecast_of(spark, sf_dir)))
+
+
+@register("risk_channel_alerts", S.with_fixtures(*_FC_SQL, select="""
+SELECT scenario_id, channel, roas_low,
+       CASE WHEN roas_low < 1 THEN 'below_break_even' WHEN roas_low < 2 THEN 'below_target' ELSE 'healthy' END AS alert
+FROM fc"""))
+def q_risk_channel_alerts(spark, sf_dir):
+    return scenarios.channel_alerts(forecast_of(spark, sf_dir))
+
+
+@register("forecast_range", S.with_fixtures(*_FC_SQL, M.blended_cte(), select=f"""
+SELECT scenario_id, channel, revenue_low, {S.rnd('revenue_high - revenue_low')} AS band, revenue_median FROM fc
+UNION ALL
+SELECT scenario_id, 'blended' AS channel, revenue_low, {S.rnd('revenue_high - revenue_low')} AS band, revenue_median
+FROM bl"""))
+def q_forecast_range(spark, sf_dir):
+    fc = forecast_of(spark, sf_dir)
+    return scenarios.forecast_range(fc, scenarios.blended(fc))
+
+
+@register("roas_long", S.with_fixtures(*_FC_SQL, select="""
+SELECT scenario_id, channel, 'roas_low' AS quantile, roas_low AS roas FROM fc
+UNION ALL SELECT scenario_id, channel, 'roas_median', roas_median FROM fc
+UNION ALL SELECT scenario_id, channel, 'roas_high', roas_high FROM fc"""))
+def q_roas_long(spark, sf_dir):
+    return scenarios.roas_long(forecast_of(spark, sf_dir))
+
+
+@register("budget_share", S.with_fixtures(M.scenarios_cte(), select=f"""
+SELECT scenario_id, channel, planned_spend,
+       CASE WHEN t <> 0 THEN {S.rnd('planned_spend / t', 4)} ELSE {S.dbl(0.0)} END AS share
+FROM (SELECT *, CAST(SUM(CAST(planned_spend AS DECIMAL(18,4))) OVER (PARTITION BY scenario_id) AS DOUBLE) AS t
+      FROM sc)"""))
+def q_budget_share(spark, sf_dir):
+    return scenarios.budget_share(scenarios.default_scenarios(spark))

@@ -119,3 +119,15 @@ UNIFIED_COLS_SQL = ("date, channel, campaign_id, campaign_name, campaign_type, s
 def lookback_cte(name: str = "recent", src: str = "unified", days: int = 90) -> str:
     return (f"{name} AS (SELECT * FROM {src} WHERE date >= "
             f"(SELECT MAX(date) FROM {src}) - INTERVAL {days} DAY)")
+
+
+def dbl(x: float) -> str:
+    """A double literal from its exact shortest text (no decimal-literal arithmetic)."""
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+def horizon_sql(h: str = "horizon_days") -> tuple[str, str, str]:
+    """(n_future, equivalent_weeks, horizon_scale) expressions."""
+    eq = f"(CAST({h} AS DOUBLE) / {dbl(7.0)})"
+    n = f"CAST(GREATEST(CEIL({eq}), 1) AS INTEGER)"
+    return n, eq, f"({eq} / CAST({n} AS DOUBLE))"
