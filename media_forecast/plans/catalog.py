@@ -520,3 +520,107 @@ FROM (SELECT *, CAST(SUM(CAST(planned_spend AS DECIMAL(18,4))) OVER (PARTITION B
       FROM sc)"""))
 def q_budget_share(spark, sf_dir):
     return scenarios.budget_share(scenarios.default_scenarios(spark))
+
+
+# ---------------------------------------------------------------------------
+# back-test, allocation
+
+from ..operators import allocation, backtest  # noqa: E402
+
+BT_H, BT_W = backtest.DEFAULT_HORIZON, backtest.DEFAULT_WINDOWS
+
+
+def _bt_sql(*extra, select):
+    zero = S.dbl(0.0)
+    return S.with_fixtures(
+        f"""dd AS (SELECT channel, date, {S.xsum('spend')} AS spend, {S.xsum('revenue')} AS revenue FROM unified
+              WHERE channel IS NOT NULL AND date IS NOT NULL GROUP BY channel, date)""",
+        f"""bw AS (SELECT channel, window_index, CAST(max_date - {BT_H} * window_index - ({BT_H} - 1) AS DATE)
+                AS window_start, CAST(max_date - {BT_H} * window_index AS DATE) AS window_end
+              FROM (SELECT channel, MAX(date) AS max_date FROM dd GROUP BY channel) m,
+                   (SELECT CAST(unnest(generate_series(0, {BT_W - 1})) AS INTEGER) AS window_index) i)""",
+        f"""act AS (SELECT d.channel, w.window_index, w.window_end, {S.xsum('d.revenue')} AS actual,
+                  {S.xsum('d.spend')} AS actual_spend
+              FROM dd d JOIN bw w ON d.channel = w.channel AND d.date BETWEEN w.window_start AND w.window_end
+              GROUP BY d.channel, w.window_index, w.window_end)""",
+        f"""tw AS (SELECT d.channel, w.window_index, {S.week('d.date')} AS week, {S.xsum('d.spend')} AS spend,
+                  {S.xsum('d.revenue')} AS revenue
+              FROM dd d JOIN bw w ON d.channel = w.channel AND d.date < w.window_start
+              GROUP BY d.channel, w.window_index, {S.week('d.date')})""",
+        *M.fit_ctes(["channel", "window_index"], src="tw", out="bfit"),
+        f"req AS (SELECT *, {BT_H} AS horizon_days FROM act)",
+        *M.score_ctes(["channel", "window_index"], "bfit", "req", spend_col="actual_spend", out="bsc"),
+        f"""runs AS (SELECT channel, window_end, actual, {S.rnd(_LO)} AS p10, {S.rnd(_MD)} AS p50,
+                  {S.rnd(_HI)} AS p90 FROM bsc WHERE intercept IS NOT NULL)""",
+        *extra, select=select)
+
+
+register("backtest_windows", _bt_sql(select="SELECT * FROM bw"))(
+    lambda spark, sf_dir: backtest.windows(backtest.series_daily(unified(spark, sf_dir), CH), CH, BT_H, BT_W))
+
+
+def _bt_parts(spark, sf_dir):
+    daily = backtest.series_daily(unified(spark, sf_dir), CH)
+    return daily, backtest.windows(daily, CH, BT_H, BT_W)
+
+
+@register("backtest_actuals", _bt_sql(select="SELECT * FROM act"))
+def q_backtest_actuals(spark, sf_dir):
+    daily, win = _bt_parts(spark, sf_dir)
+    return backtest.actuals(daily, win, CH)
+
+
+@register("backtest_train_weekly", _bt_sql(select="SELECT * FROM tw"))
+def q_backtest_train_weekly(spark, sf_dir):
+    daily, win = _bt_parts(spark, sf_dir)
+    return backtest.train_weekly(daily, win, CH)
+
+
+@register("backtest_runs", _bt_sql(select="SELECT * FROM runs"))
+def q_backtest_runs(spark, sf_dir):
+    return backtest.runs(unified(spark, sf_dir), CH, BT_H, BT_W)
+
+
+_ERR = "CASE WHEN actual > 0 THEN abs(actual - p50) / actual END"
+
+
+@register("backtest_score", _bt_sql(f"""
+sg AS (SELECT channel, list_sort(list({_ERR}) FILTER (WHERE {_ERR} IS NOT NULL)) AS errs,
+              CAST(COUNT(*) FILTER (WHERE p10 <= actual AND actual <= p90) AS BIGINT) AS covered,
+              CAST(COUNT(*) AS BIGINT) AS windows_tested FROM runs GROUP BY channel)""", select=f"""
+SELECT channel,
+       {S.rnd(f"CASE WHEN len(errs) > 0 THEN list_reduce(list_prepend({S.dbl(0.0)}, errs), lambda a, x: a + x) / CAST(len(errs) AS DOUBLE) ELSE {S.dbl(0.0)} END", 4)} AS aape,
+       {S.rnd('CAST(covered AS DOUBLE) / CAST(windows_tested AS DOUBLE)', 4)} AS coverage_prob, windows_tested
+FROM sg"""))
+def q_backtest_score(spark, sf_dir):
+    return backtest.score(backtest.runs(unified(spark, sf_dir), CH, BT_H, BT_W), CH)
+
+
+ALLOC_SCENARIO = 2  # default budgets at the default 60-day horizon
+
+
+@register("campaign_allocation", S.with_fixtures(
+    *_FC_SQL, S.lookback_cte(), f"""
+camp AS (SELECT channel, campaign_name, campaign_type, {S.xsum('revenue')} AS historical_revenue,
+                {S.xsum('spend')} AS historical_spend,
+                CAST(COUNT(*) FILTER (WHERE COALESCE(revenue_is_estimated, FALSE)) AS BIGINT) AS est_rows,
+                {S.sources_text()} AS revenue_source
+         FROM recent WHERE channel IS NOT NULL AND campaign_name IS NOT NULL AND campaign_type IS NOT NULL
+         GROUP BY channel, campaign_name, campaign_type)""", """
+cw AS (SELECT *, CAST(SUM(CAST(historical_revenue AS DECIMAL(18,4))) OVER (PARTITION BY channel) AS DOUBLE) AS ch_revenue,
+              CAST(SUM(CAST(historical_spend AS DECIMAL(18,4))) OVER (PARTITION BY channel) AS DOUBLE) AS ch_spend
+       FROM camp)""", f"""
+j AS (SELECT cw.*, f.revenue_median AS ch_forecast, f.channel IS NOT NULL AS has_fc
+      FROM cw LEFT JOIN (SELECT channel, revenue_median FROM fc WHERE scenario_id = {ALLOC_SCENARIO}) f
+      ON cw.channel = f.channel)""", select=f"""
+SELECT channel, campaign_name, campaign_type, historical_spend, historical_revenue,
+       CASE WHEN NOT has_fc THEN NULL
+            WHEN ch_revenue > 0 THEN historical_revenue / ch_revenue * ch_forecast
+            WHEN ch_spend > 0 THEN historical_spend / ch_spend * ch_forecast ELSE {S.dbl(0.0)} END AS forecast_revenue,
+       CASE WHEN NOT has_fc THEN NULL WHEN ch_revenue > 0 THEN 'Revenue share'
+            WHEN ch_spend > 0 THEN 'Spend share' ELSE 'No spend/revenue' END AS allocation_basis,
+       est_rows > 0 AS revenue_is_estimated, revenue_source
+FROM j"""))
+def q_campaign_allocation(spark, sf_dir):
+    fc = forecast_of(spark, sf_dir).filter(F.col("scenario_id") == ALLOC_SCENARIO)
+    return allocation.ranked(allocation.allocate(unified(spark, sf_dir), fc))
