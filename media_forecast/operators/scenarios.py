@@ -82,19 +82,9 @@ def _roas(rev: str) -> Column:
     return F.when(F.col("planned_spend") != 0, out_round(F.col(rev) / F.col("planned_spend"))).otherwise(F.lit(0.0))
 
 
-def scenario_forecast(fit: DataFrame, scenarios: DataFrame, keys: list[str] | None = None,
-                      caps: bool = True) -> DataFrame:
-    """Per (scenario, series) low / median / high revenue and ROAS.
-
-    A series without a fitted model, with too little history or with no
-    planned spend gets an all-zero row and a ``status`` saying why.
-    """
-    keys = keys or ["channel"]
-    scored = models.score_horizon(fit, keys, scenarios)
-    status = (F.when(F.col("intercept").isNull(), F.lit("no_history"))
-              .when(~F.col("eligible"), F.lit("insufficient_history"))
-              .when(F.col("planned_spend") <= 0, F.lit("no_spend")).otherwise(F.lit("ok")))
-    scored = scored.withColumn("status", status)
+def finalize(scored: DataFrame, keys: list[str], caps: bool = True) -> DataFrame:
+    """Combine p_*/q_* model outputs into published rows, zeroing rows whose
+    ``status`` is not ``ok``; adds ROAS columns."""
     chan = F.col("channel") if "channel" in keys else F.lit(None).cast("string")
     comb = combine_bands(F.col("p_low"), F.col("p_median"), F.col("p_high"),
                          F.col("q_low"), F.col("q_median"), F.col("q_high"),
@@ -108,6 +98,26 @@ def scenario_forecast(fit: DataFrame, scenarios: DataFrame, keys: list[str] | No
                       _roas("revenue_high").alias("roas_high"))
 
 
+def history_status(has_model: Column, eligible: Column) -> Column:
+    return (F.when(~has_model, F.lit("no_history"))
+            .when(~eligible, F.lit("insufficient_history"))
+            .when(F.col("planned_spend") <= 0, F.lit("no_spend")).otherwise(F.lit("ok")))
+
+
+def scenario_forecast(fit: DataFrame, scenarios: DataFrame, keys: list[str] | None = None,
+                      caps: bool = True) -> DataFrame:
+    """Per (scenario, series) low / median / high revenue and ROAS (closed-form models).
+
+    A series without a fitted model, with too little history or with no
+    planned spend gets an all-zero row and a ``status`` saying why.
+    """
+    keys = keys or ["channel"]
+    scored = models.score_horizon(fit, keys, scenarios)
+    scored = scored.withColumn("status", history_status(F.col("intercept").isNotNull(),
+                                                        F.coalesce(F.col("eligible"), F.lit(False))))
+    return finalize(scored, keys, caps)
+
+
 def blended(forecast: DataFrame) -> DataFrame:
     """Per scenario: sums of channel results; ROAS over all planned spend."""
     g = forecast.groupBy("scenario_id").agg(

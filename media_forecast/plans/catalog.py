@@ -624,3 +624,92 @@ FROM j"""))
 def q_campaign_allocation(spark, sf_dir):
     fc = forecast_of(spark, sf_dir).filter(F.col("scenario_id") == ALLOC_SCENARIO)
     return allocation.ranked(allocation.allocate(unified(spark, sf_dir), fc))
+
+
+# ---------------------------------------------------------------------------
+# learned models (level ii) — property-checked, no SQL oracle
+
+from ..operators import series_models  # noqa: E402
+
+
+@register("trend_fit")
+def q_trend_fit(spark, sf_dir):
+    return series_models.fit_trend(weekly_of(spark, sf_dir, "campaign"), CAMP)
+
+
+@register("quantile_fit")
+def q_quantile_fit(spark, sf_dir):
+    return series_models.fit_quantile(weekly_of(spark, sf_dir, "campaign"), CAMP)
+
+
+@register("trend_forecast")
+def q_trend_forecast(spark, sf_dir):
+    fit = series_models.fit_trend(weekly_of(spark, sf_dir), CH)
+    return series_models.trend_forecast(fit, CH, scenarios.default_scenarios(spark))
+
+
+@register("quantile_forecast")
+def q_quantile_forecast(spark, sf_dir):
+    wk = weekly_of(spark, sf_dir)
+    fit = series_models.fit_quantile(wk, CH)
+    future = features.future_features(wk, CH, scenarios.default_scenarios(spark))
+    return series_models.quantile_forecast(fit, CH, future)
+
+
+def learned_forecast(spark, sf_dir, keys=CH, scen=None):
+    """Scenario scoring with the learned models: trend median, quantile spread."""
+    wk = weekly_of(spark, sf_dir, "channel" if keys == CH else "campaign")
+    sc = scen if scen is not None else scenarios.default_scenarios(spark)
+    req = [*sc.columns]
+    p = series_models.trend_forecast(series_models.fit_trend(wk, keys), keys, sc)
+    q = series_models.quantile_forecast(series_models.fit_quantile(wk, keys), keys,
+                                        features.future_features(wk, keys, sc))
+    elig = kpis.series_eligibility(wk, keys)
+    j = (sc.join(p.drop("planned_spend"), ["scenario_id", *keys, "horizon_days"], "left")
+         .join(q, ["scenario_id", *keys, "horizon_days"], "left")
+         .join(elig, keys, "left"))
+    j = j.withColumn("status", scenarios.history_status(F.col("n_weeks").isNotNull(),
+                                                        F.coalesce(F.col("eligible"), F.lit(False))))
+    return scenarios.finalize(j.select(*req, "status", "p_low", "p_median", "p_high", "q_low", "q_median", "q_high"),
+                              keys)
+
+
+register("scenario_forecast_learned")(lambda spark, sf_dir: learned_forecast(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# campaign-grain scenarios derived from the data (scale case for scoring)
+
+CAMPAIGN_MULTIPLIERS = (0.8, 1.0, 1.2)
+CAMPAIGN_HORIZON = 90
+
+
+def campaign_scenarios(df: DataFrame) -> DataFrame:
+    """One scenario per multiplier: each campaign's look-back spend × multiplier over 90 days."""
+    hist = kpis.lookback(df).filter(kpis.keys_present(CAMP)).groupBy(*CAMP).agg(
+        kpis.exact_sum("spend").alias("hist_spend"))
+    mult = df.sparkSession.createDataFrame([(i + 1, float(m)) for i, m in enumerate(CAMPAIGN_MULTIPLIERS)],
+                                           "scenario_id int, multiplier double")
+    return hist.crossJoin(F.broadcast(mult)).select(
+        "scenario_id", *CAMP, (F.col("hist_spend") * F.col("multiplier")).alias("planned_spend"),
+        F.lit(CAMPAIGN_HORIZON).alias("horizon_days"))
+
+
+def _campaign_sc_sql() -> str:
+    vals = ", ".join(f"({i + 1}, {m!r})" for i, m in enumerate(CAMPAIGN_MULTIPLIERS))
+    return f"""sc AS (SELECT m.scenario_id, h.channel, h.campaign_id, h.campaign_name,
+                  h.hist_spend * m.multiplier AS planned_spend, {CAMPAIGN_HORIZON} AS horizon_days
+           FROM (SELECT channel, campaign_id, campaign_name, {S.xsum('spend')} AS hist_spend FROM recent
+                 WHERE channel IS NOT NULL AND campaign_id IS NOT NULL AND campaign_name IS NOT NULL
+                 GROUP BY channel, campaign_id, campaign_name) h
+           CROSS JOIN (SELECT CAST(a AS INTEGER) AS scenario_id, CAST(b AS DOUBLE) AS multiplier
+                       FROM (VALUES {vals}) t(a, b)) m)"""
+
+
+@register("campaign_scenario_forecast", S.with_fixtures(
+    weekly_cte(CAMP), *M.fit_ctes(CAMP), S.lookback_cte(), _campaign_sc_sql(), *M.forecast_ctes(CAMP, "fit"),
+    select="SELECT * FROM fc"))
+def q_campaign_scenario_forecast(spark, sf_dir):
+    df = unified(spark, sf_dir)
+    fit = models.fit_spend_response(kpis.weekly(df, "campaign"), CAMP)
+    return scenarios.scenario_forecast(fit, campaign_scenarios(df), CAMP)
