@@ -713,3 +713,51 @@ def q_campaign_scenario_forecast(spark, sf_dir):
     df = unified(spark, sf_dir)
     fit = models.fit_spend_response(kpis.weekly(df, "campaign"), CAMP)
     return scenarios.scenario_forecast(fit, campaign_scenarios(df), CAMP)
+
+
+# ---------------------------------------------------------------------------
+# narrative context rows
+
+from ..operators import text  # noqa: E402
+
+
+@register("prompt_rows")
+def q_prompt_rows(spark, sf_dir):
+    df = unified(spark, sf_dir)
+    fit = models.fit_spend_response(kpis.weekly(df, "channel"), CH)
+    fc = scenarios.scenario_forecast(fit, scenarios.default_scenarios(spark), CH)
+    return text.prompt_rows(df, fc, scenarios.blended(fc))
+
+
+# ---------------------------------------------------------------------------
+# connectors: CSV export → reader, Parquet sink → reader (round trips through
+# the shared checkpoint folder named by the session)
+
+import uuid  # noqa: E402
+
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import read_unified, write_unified  # noqa: E402
+from ..sources.sinks import export_csv  # noqa: E402
+from ..sources.vendors import load_bing, load_google, load_meta  # noqa: E402
+
+
+def _scratch(spark, name):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("ingest_csv_roundtrip", S.with_fixtures(select=f"""
+SELECT {U} FROM google UNION ALL SELECT {U} FROM bing UNION ALL SELECT {U} FROM meta"""))
+def q_ingest_csv_roundtrip(spark, sf_dir):
+    paths = {}
+    for ch, raw in fixtures.raw_exports(spark, sf_dir).items():
+        paths[ch] = _scratch(spark, f"export-{ch.lower()}")
+        export_csv(raw, paths[ch])
+    return (load_google(spark, paths["Google"]).unionByName(load_bing(spark, paths["Bing"]))
+            .unionByName(load_meta(spark, paths["Meta"])))
+
+
+@register("unified_parquet_roundtrip", S.with_fixtures(select=f"SELECT {UR} FROM unified"))
+def q_unified_parquet_roundtrip(spark, sf_dir):
+    path = _scratch(spark, "unified")
+    write_unified(unified(spark, sf_dir), path)
+    return read_unified(spark, path)

@@ -27,3 +27,8 @@ def read_unified(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     cols = [c for c in UNIFIED_COLUMNS + RATIO_COLUMNS if c in df.columns]
     return df.select(*cols)
+
+
+def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write a vendor-layout frame as headed CSV files (the exports' own format)."""
+    df.write.mode(mode).option("header", True).csv(path)
