@@ -560,7 +560,7 @@ register("backtest_windows", _bt_sql(select="SELECT * FROM bw"))(
 
 
 def _bt_parts(spark, sf_dir):
-    daily = backtest.series_daily(unified(spark, sf_dir), CH)
+    daily = backtest.materialized_daily(unified(spark, sf_dir), CH)
     return daily, backtest.windows(daily, CH, BT_H, BT_W)
 
 

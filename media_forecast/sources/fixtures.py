@@ -28,8 +28,16 @@ NULL_NAME_MODULUS, NULL_NAME_REMAINDER = 37, 1
 CHANNEL_FLAGS = {"Google": "A", "Bing": "N", "Meta": "R"}
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+_BASES: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Parquet table as a lazy DataFrame, resolved once per session (the relation is immutable input)."""
+    key = (id(spark), f"{sf_dir}/{name}.parquet")
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(key[1])
+    return _TABLES[key]
 
 
 def _by_modulo(key: Column, labels: list[str]) -> Column:
@@ -41,9 +49,22 @@ def _by_modulo(key: Column, labels: list[str]) -> Column:
 
 
 def base_rows(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
-    """Join + derive the shared measures for one return flag (one channel)."""
-    li = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == flag).select(
-        "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    """Rows of one return flag (one channel); the flag filter is pushed to the lineitem scan."""
+    return _base(spark, sf_dir).filter(F.col("flag") == flag).drop("flag")
+
+
+def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Join + derive the shared measures (built once per session and folder)."""
+    key = (id(spark), sf_dir)
+    if key not in _BASES:
+        _BASES[key] = _build_base(spark, sf_dir)
+    return _BASES[key]
+
+
+def _build_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate",
+        "l_returnflag")
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     j = li.join(sup, li.l_suppkey == sup.s_suppkey, "inner")
     key = F.col("l_suppkey")
@@ -51,6 +72,7 @@ def base_rows(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
         F.concat(_by_modulo(key, NAME_STEMS), F.lit(" | "), F.col("s_name")))
     spend = F.col("l_extendedprice") * F.col("l_discount") + F.lit(0.0)
     return j.select(
+        F.col("l_returnflag").alias("flag"),
         F.to_date("l_shipdate").alias("d"),
         key.cast("string").alias("cid"),
         name.alias("cname"),

@@ -27,107 +27,123 @@ from .schema import (
 )
 
 
-def _is_text(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, T.StringType)
+class _Fields:
+    """Column types of a raw export, read once (each ``df.schema`` call re-analyses the plan)."""
 
+    def __init__(self, df: DataFrame):
+        self.types = {f.name: f.dataType for f in df.schema.fields}
 
-def _text(df: DataFrame, name: str) -> Column:
+    def __getitem__(self, name: str):
+        if name not in self.types:
+            raise ValueError(f"export lacks field {name!r}")
+        return self.types[name]
+
+
+def _is_text(df, name: str) -> bool:
+    return isinstance(df[name], T.StringType)
+
+
+def _text(df: _Fields, name: str) -> Column:
     c = F.col(name)
     return clean_text(c) if _is_text(df, name) else c.cast("string")
 
 
-def _double(df: DataFrame, name: str) -> Column:
+def _double(df: _Fields, name: str) -> Column:
     c = clean_text(F.col(name)) if _is_text(df, name) else F.col(name)
     return nan_to_null(c.cast("double"))
 
 
-def _long(df: DataFrame, name: str) -> Column:
-    if isinstance(df.schema[name].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+def _long(df: _Fields, name: str) -> Column:
+    if isinstance(df[name], (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         return F.col(name).cast("long")
     return _double(df, name).cast("long")
 
 
-def _date(df: DataFrame, name: str) -> Column:
+def _date(df: _Fields, name: str) -> Column:
     c = clean_text(F.col(name)) if _is_text(df, name) else F.col(name)
     return F.to_date(c)
 
 
-def _campaign_id(df: DataFrame, name: str) -> Column:
+def _campaign_id(df: _Fields, name: str) -> Column:
     # A missing id keeps its row (the text "nan"), as the exports are read as text.
     return F.coalesce(_text(df, name), F.lit("nan"))
 
 
 def google_to_unified(raw: DataFrame) -> DataFrame:
+    f = _Fields(raw)
     return raw.select(
-        _date(raw, "segments_date").alias("date"),
+        _date(f, "segments_date").alias("date"),
         F.lit(GOOGLE_CHANNEL).alias("channel"),
-        _campaign_id(raw, "campaign_id").alias("campaign_id"),
-        _text(raw, "campaign_name").alias("campaign_name"),
-        _text(raw, "campaign_advertising_channel_type").alias("campaign_type"),
-        (_double(raw, "metrics_cost_micros") / F.lit(float(GOOGLE_MICROS_PER_UNIT))).alias("spend"),
-        _double(raw, "metrics_conversions_value").alias("revenue"),
-        _long(raw, "metrics_clicks").alias("clicks"),
-        _long(raw, "metrics_impressions").alias("impressions"),
-        _double(raw, "metrics_conversions").alias("conversions"),
-        _double(raw, "campaign_budget_amount").alias("daily_budget"),
+        _campaign_id(f, "campaign_id").alias("campaign_id"),
+        _text(f, "campaign_name").alias("campaign_name"),
+        _text(f, "campaign_advertising_channel_type").alias("campaign_type"),
+        (_double(f, "metrics_cost_micros") / F.lit(float(GOOGLE_MICROS_PER_UNIT))).alias("spend"),
+        _double(f, "metrics_conversions_value").alias("revenue"),
+        _long(f, "metrics_clicks").alias("clicks"),
+        _long(f, "metrics_impressions").alias("impressions"),
+        _double(f, "metrics_conversions").alias("conversions"),
+        _double(f, "campaign_budget_amount").alias("daily_budget"),
         F.lit(False).alias("revenue_is_estimated"),
         F.lit(GOOGLE_REVENUE_SOURCE).alias("revenue_source"),
     )
 
 
 def bing_to_unified(raw: DataFrame) -> DataFrame:
+    f = _Fields(raw)
     return raw.select(
-        _date(raw, "TimePeriod").alias("date"),
+        _date(f, "TimePeriod").alias("date"),
         F.lit(BING_CHANNEL).alias("channel"),
-        _campaign_id(raw, "CampaignId").alias("campaign_id"),
-        _text(raw, "CampaignName").alias("campaign_name"),
-        _text(raw, "CampaignType").alias("campaign_type"),
-        _double(raw, "Spend").alias("spend"),
-        _double(raw, "Revenue").alias("revenue"),
-        _long(raw, "Clicks").alias("clicks"),
-        _long(raw, "Impressions").alias("impressions"),
-        _double(raw, "Conversions").alias("conversions"),
-        _double(raw, "DailyBudget").alias("daily_budget"),
+        _campaign_id(f, "CampaignId").alias("campaign_id"),
+        _text(f, "CampaignName").alias("campaign_name"),
+        _text(f, "CampaignType").alias("campaign_type"),
+        _double(f, "Spend").alias("spend"),
+        _double(f, "Revenue").alias("revenue"),
+        _long(f, "Clicks").alias("clicks"),
+        _long(f, "Impressions").alias("impressions"),
+        _double(f, "Conversions").alias("conversions"),
+        _double(f, "DailyBudget").alias("daily_budget"),
         F.lit(False).alias("revenue_is_estimated"),
         F.lit(BING_REVENUE_SOURCE).alias("revenue_source"),
     )
 
 
-def meta_revenue(raw: DataFrame, estimated_aov: float | None = None,
+def meta_revenue(raw, estimated_aov: float | None = None,
                  fallback_roas: float = META_DEFAULT_FALLBACK_ROAS) -> tuple[Column, bool, str]:
     """Revenue expression, estimated flag and source label, chosen by the columns present.
 
     Order: an observed ``revenue`` field; else conversions × ``conversion_value``;
     else conversions × the supplied average order value; else spend × fallback ROAS.
     """
-    cols = set(raw.columns)
-    conversions = _double(raw, "conversion")
+    f = raw if isinstance(raw, _Fields) else _Fields(raw)
+    cols = set(f.types)
+    conversions = _double(f, "conversion")
     if "revenue" in cols:
-        return _double(raw, "revenue"), False, "revenue"
+        return _double(f, "revenue"), False, "revenue"
     if "conversion_value" in cols:
-        return conversions * _double(raw, "conversion_value"), False, "conversion_value"
+        return conversions * _double(f, "conversion_value"), False, "conversion_value"
     if estimated_aov is not None:
         return conversions * F.lit(float(estimated_aov)), True, f"estimated_aov_{shortest_number(estimated_aov)}"
-    return (_double(raw, "spend") * F.lit(float(fallback_roas)), True,
+    return (_double(f, "spend") * F.lit(float(fallback_roas)), True,
             f"fallback_roas_{shortest_number(fallback_roas)}")
 
 
 def meta_to_unified(raw: DataFrame, estimated_aov: float | None = None,
                     fallback_roas: float = META_DEFAULT_FALLBACK_ROAS) -> DataFrame:
-    revenue, estimated, source = meta_revenue(raw, estimated_aov, fallback_roas)
-    name = _text(raw, "campaign_name")
+    f = _Fields(raw)
+    revenue, estimated, source = meta_revenue(f, estimated_aov, fallback_roas)
+    name = _text(f, "campaign_name")
     return raw.select(
-        _date(raw, "date_start").alias("date"),
+        _date(f, "date_start").alias("date"),
         F.lit(META_CHANNEL).alias("channel"),
-        _campaign_id(raw, "campaign_id").alias("campaign_id"),
+        _campaign_id(f, "campaign_id").alias("campaign_id"),
         name.alias("campaign_name"),
         campaign_type_from_name(name).alias("campaign_type"),
-        _double(raw, "spend").alias("spend"),
+        _double(f, "spend").alias("spend"),
         revenue.alias("revenue"),
-        _long(raw, "clicks").alias("clicks"),
-        _long(raw, "impressions").alias("impressions"),
-        _double(raw, "conversion").alias("conversions"),
-        _double(raw, "daily_budget").alias("daily_budget"),
+        _long(f, "clicks").alias("clicks"),
+        _long(f, "impressions").alias("impressions"),
+        _double(f, "conversion").alias("conversions"),
+        _double(f, "daily_budget").alias("daily_budget"),
         F.lit(estimated).alias("revenue_is_estimated"),
         F.lit(source).alias("revenue_source"),
     )
