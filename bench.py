@@ -36,6 +36,7 @@ HEADLINE = [
     "scenario_blended",
     "backtest_runs",
     "backtest_score",
+    "backtest_score_campaign",
     "campaign_allocation",
     "trend_fit",
     "quantile_fit",

@@ -151,9 +151,40 @@ def estimated_channels(df: DataFrame) -> DataFrame:
             .select("channel").distinct())
 
 
-def estimated_share(df: DataFrame) -> DataFrame:
-    """Share of estimated-revenue rows per channel (used by the text report)."""
+SCALAR_CHECKS = ["total_records", "zero_revenue_rows", "zero_revenue_campaign_count", "negative_spend_rows",
+                 "negative_revenue_rows", "estimated_revenue_rows", "zero_spend_rows", "extreme_roas_rows"]
+
+
+def validation_summary(df: DataFrame) -> DataFrame:
+    """The whole report in long form: (check, channel, value); channel is null for overall counts.
+
+    Three passes over the rows: one per-channel aggregate (records, zero-spend and
+    estimated rows, first/last/distinct dates — coverage and gaps derive from it),
+    one pass of scalar counts, and the duplicate-key aggregate.
+    """
     flag = F.coalesce(F.col("revenue_is_estimated"), F.lit(False))
-    return _with_channel(df).groupBy("channel").agg(
-        F.count_if(flag).alias("estimated_rows"), F.count(F.lit(1)).alias("rows")).withColumn(
-        "estimated_share", out_round(safe_ratio("estimated_rows", "rows")))
+    per = _with_channel(df).groupBy("channel").agg(
+        F.count(F.lit(1)).alias("records"),
+        F.count_if(F.col("spend") == 0).alias("zero_spend_rows"),
+        F.count_if(flag).alias("estimated_rows"),
+        F.min("date").alias("lo"), F.max("date").alias("hi"),
+        F.count_distinct("date").alias("n_dates"),
+    )
+    # One row per channel: the global range is a tiny aggregate of this table.
+    g = per.agg(F.min("lo").alias("g_lo"), F.max("hi").alias("g_hi"))
+    per = per.crossJoin(F.broadcast(g)).select(
+        "channel", "records", "zero_spend_rows", "estimated_rows",
+        (F.datediff("hi", "lo") + 1 - F.col("n_dates")).alias("missing_dates"),
+        F.datediff("lo", "g_lo").alias("starts_after_global_min_days"),
+        F.datediff("g_hi", "hi").alias("ends_before_global_max_days"),
+    )
+    checks = ["records", "missing_dates", "zero_spend_rows", "estimated_rows",
+              "starts_after_global_min_days", "ends_before_global_max_days"]
+    long = per.select("channel", *[F.col(c).cast("long").alias(c) for c in checks]).unpivot(
+        ["channel"], checks, "check", "value")
+    # Value-count style checks list only channels that have such rows.
+    long = long.filter(~F.col("check").isin("zero_spend_rows", "estimated_rows") | (F.col("value") > 0))
+    overall = counts(df).crossJoin(duplicate_rows(df)).unpivot(
+        [], SCALAR_CHECKS + ["duplicate_rows"], "check", "value").select(
+        "check", F.lit(None).cast("string").alias("channel"), F.col("value").cast("long").alias("value"))
+    return overall.unionByName(long.select("check", "channel", "value"))

@@ -530,31 +530,50 @@ from ..operators import allocation, backtest  # noqa: E402
 BT_H, BT_W = backtest.DEFAULT_HORIZON, backtest.DEFAULT_WINDOWS
 
 
-def _bt_sql(*extra, select):
-    zero = S.dbl(0.0)
+def _bt_sql(*extra, select, keys=CH):
+    k = ", ".join(keys)
+    dk = ", ".join(f"d.{c}" for c in keys)
+    on = " AND ".join(f"d.{c} = w.{c}" for c in keys)
+    notnull = " AND ".join(f"{c} IS NOT NULL" for c in keys)
+    wk_keys = [*keys, "window_index"]
     return S.with_fixtures(
-        f"""dd AS (SELECT channel, date, {S.xsum('spend')} AS spend, {S.xsum('revenue')} AS revenue FROM unified
-              WHERE channel IS NOT NULL AND date IS NOT NULL GROUP BY channel, date)""",
-        f"""bw AS (SELECT channel, window_index, CAST(max_date - {BT_H} * window_index - ({BT_H} - 1) AS DATE)
+        f"""dd AS (SELECT {k}, date, {S.xsum('spend')} AS spend, {S.xsum('revenue')} AS revenue FROM unified
+              WHERE {notnull} AND date IS NOT NULL GROUP BY {k}, date)""",
+        f"""bw AS (SELECT {k}, window_index, CAST(max_date - {BT_H} * window_index - ({BT_H} - 1) AS DATE)
                 AS window_start, CAST(max_date - {BT_H} * window_index AS DATE) AS window_end
-              FROM (SELECT channel, MAX(date) AS max_date FROM dd GROUP BY channel) m,
+              FROM (SELECT {k}, MAX(date) AS max_date FROM dd GROUP BY {k}) m,
                    (SELECT CAST(unnest(generate_series(0, {BT_W - 1})) AS INTEGER) AS window_index) i)""",
-        f"""act AS (SELECT d.channel, w.window_index, w.window_end, {S.xsum('d.revenue')} AS actual,
+        f"""act AS (SELECT {dk}, w.window_index, w.window_end, {S.xsum('d.revenue')} AS actual,
                   {S.xsum('d.spend')} AS actual_spend
-              FROM dd d JOIN bw w ON d.channel = w.channel AND d.date BETWEEN w.window_start AND w.window_end
-              GROUP BY d.channel, w.window_index, w.window_end)""",
-        f"""tw AS (SELECT d.channel, w.window_index, {S.week('d.date')} AS week, {S.xsum('d.spend')} AS spend,
+              FROM dd d JOIN bw w ON {on} AND d.date BETWEEN w.window_start AND w.window_end
+              GROUP BY {dk}, w.window_index, w.window_end)""",
+        f"""tw AS (SELECT {dk}, w.window_index, {S.week('d.date')} AS week, {S.xsum('d.spend')} AS spend,
                   {S.xsum('d.revenue')} AS revenue
-              FROM dd d JOIN bw w ON d.channel = w.channel AND d.date < w.window_start
-              GROUP BY d.channel, w.window_index, {S.week('d.date')})""",
-        *M.fit_ctes(["channel", "window_index"], src="tw", out="bfit"),
+              FROM dd d JOIN bw w ON {on} AND d.date < w.window_start
+              GROUP BY {dk}, w.window_index, {S.week('d.date')})""",
+        *M.fit_ctes(wk_keys, src="tw", out="bfit"),
         f"req AS (SELECT *, {BT_H} AS horizon_days FROM act)",
-        *M.score_ctes(["channel", "window_index"], "bfit", "req", spend_col="actual_spend", out="bsc"),
-        f"""runs AS (SELECT channel, window_end, actual, {S.rnd(_LO)} AS p10, {S.rnd(_MD)} AS p50,
+        *M.score_ctes(wk_keys, "bfit", "req", spend_col="actual_spend", out="bsc"),
+        f"""runs AS (SELECT {k}, window_end, actual, {S.rnd(_LO)} AS p10, {S.rnd(_MD)} AS p50,
                   {S.rnd(_HI)} AS p90 FROM bsc WHERE intercept IS NOT NULL)""",
         *extra, select=select)
 
 
+def _score_sql(keys):
+    k = ", ".join(keys)
+    return _bt_sql(f"""
+sg AS (SELECT {k}, list_sort(list({_ERR}) FILTER (WHERE {_ERR} IS NOT NULL)) AS errs,
+              CAST(COUNT(*) FILTER (WHERE p10 <= actual AND actual <= p90) AS BIGINT) AS covered,
+              CAST(COUNT(*) AS BIGINT) AS windows_tested FROM runs GROUP BY {k})""", select=f"""
+SELECT {k},
+       {S.rnd(f"CASE WHEN len(errs) > 0 THEN list_reduce(list_prepend({S.dbl(0.0)}, errs), lambda a, x: a + x) / CAST(len(errs) AS DOUBLE) ELSE {S.dbl(0.0)} END", 4)} AS aape,
+       {S.rnd('CAST(covered AS DOUBLE) / CAST(windows_tested AS DOUBLE)', 4)} AS coverage_prob, windows_tested
+FROM sg""", keys=keys)
+
+
+_ERR = "CASE WHEN actual > 0 THEN abs(actual - p50) / actual END"
+
+
 register("backtest_windows", _bt_sql(select="SELECT * FROM bw"))(
     lambda spark, sf_dir: backtest.windows(backtest.series_daily(unified(spark, sf_dir), CH), CH, BT_H, BT_W))
 
@@ -581,21 +600,17 @@ def q_backtest_runs(spark, sf_dir):
     return backtest.runs(unified(spark, sf_dir), CH, BT_H, BT_W)
 
 
-_ERR = "CASE WHEN actual > 0 THEN abs(actual - p50) / actual END"
-
-
-@register("backtest_score", _bt_sql(f"""
-sg AS (SELECT channel, list_sort(list({_ERR}) FILTER (WHERE {_ERR} IS NOT NULL)) AS errs,
-              CAST(COUNT(*) FILTER (WHERE p10 <= actual AND actual <= p90) AS BIGINT) AS covered,
-              CAST(COUNT(*) AS BIGINT) AS windows_tested FROM runs GROUP BY channel)""", select=f"""
-SELECT channel,
-       {S.rnd(f"CASE WHEN len(errs) > 0 THEN list_reduce(list_prepend({S.dbl(0.0)}, errs), lambda a, x: a + x) / CAST(len(errs) AS DOUBLE) ELSE {S.dbl(0.0)} END", 4)} AS aape,
-       {S.rnd('CAST(covered AS DOUBLE) / CAST(windows_tested AS DOUBLE)', 4)} AS coverage_prob, windows_tested
-FROM sg"""))
+@register("backtest_score", _score_sql(CH))
 def q_backtest_score(spark, sf_dir):
     return backtest.score(backtest.runs(unified(spark, sf_dir), CH, BT_H, BT_W), CH)
 
 
+@register("backtest_score_campaign", _score_sql(CAMP))
+def q_backtest_score_campaign(spark, sf_dir):
+    """Every campaign series × window refitted and scored in one job."""
+    return backtest.score(backtest.runs(unified(spark, sf_dir), CAMP, BT_H, BT_W), CAMP)
+
+
 ALLOC_SCENARIO = 2  # default budgets at the default 60-day horizon
 
 
@@ -761,3 +776,37 @@ def q_unified_parquet_roundtrip(spark, sf_dir):
     path = _scratch(spark, "unified")
     write_unified(unified(spark, sf_dir), path)
     return read_unified(spark, path)
+
+
+def _summary_sql() -> str:
+    overall = " UNION ALL ".join(
+        f"SELECT '{c}' AS check, CAST(NULL AS VARCHAR) AS channel, CAST({c} AS BIGINT) AS value FROM cnt"
+        for c in quality.SCALAR_CHECKS + ["duplicate_rows"])
+    return S.with_fixtures(_DUPS, _OBS, f"""
+cnt AS (SELECT CAST(COUNT(*) AS BIGINT) AS total_records,
+       CAST(COUNT(*) FILTER (WHERE {LEAK}) AS BIGINT) AS zero_revenue_rows,
+       CAST(COUNT(DISTINCT CASE WHEN {LEAK} THEN campaign_name END) AS BIGINT) AS zero_revenue_campaign_count,
+       CAST(COUNT(*) FILTER (WHERE spend < 0) AS BIGINT) AS negative_spend_rows,
+       CAST(COUNT(*) FILTER (WHERE revenue < 0) AS BIGINT) AS negative_revenue_rows,
+       CAST(COUNT(*) FILTER (WHERE COALESCE(revenue_is_estimated, FALSE)) AS BIGINT) AS estimated_revenue_rows,
+       CAST(COUNT(*) FILTER (WHERE spend = 0) AS BIGINT) AS zero_spend_rows,
+       CAST(COUNT(*) FILTER (WHERE spend > 0 AND revenue / spend > 50) AS BIGINT) AS extreme_roas_rows,
+       (SELECT CAST(COALESCE(SUM(n_rows), 0) AS BIGINT) FROM d) AS duplicate_rows
+  FROM unified)""", select=f"""
+{overall}
+UNION ALL SELECT 'records', channel, CAST(COUNT(*) AS BIGINT) FROM unified WHERE channel IS NOT NULL GROUP BY channel
+UNION ALL SELECT 'missing_dates', channel, CAST(datediff('day', MIN(date), MAX(date)) + 1 - COUNT(*) AS BIGINT)
+          FROM obs GROUP BY channel
+UNION ALL SELECT 'zero_spend_rows', channel, CAST(COUNT(*) AS BIGINT) FROM unified
+          WHERE channel IS NOT NULL AND spend = 0 GROUP BY channel
+UNION ALL SELECT 'estimated_rows', channel, CAST(COUNT(*) AS BIGINT) FROM unified
+          WHERE channel IS NOT NULL AND COALESCE(revenue_is_estimated, FALSE) GROUP BY channel
+UNION ALL SELECT 'starts_after_global_min_days', channel,
+          CAST(datediff('day', (SELECT MIN(date) FROM unified), MIN(date)) AS BIGINT)
+          FROM unified WHERE channel IS NOT NULL GROUP BY channel
+UNION ALL SELECT 'ends_before_global_max_days', channel,
+          CAST(datediff('day', MAX(date), (SELECT MAX(date) FROM unified)) AS BIGINT)
+          FROM unified WHERE channel IS NOT NULL GROUP BY channel""")
+
+
+_dq("dq_validation_summary", quality.validation_summary, _summary_sql())
