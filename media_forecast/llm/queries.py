@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from media_forecast.llm import bpe, packing, token_counts
+from media_forecast.llm import bpe, html_text, packing, token_counts, toxicity
 from media_forecast.llm.common import table
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe_codec(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -19,6 +27,6 @@ def op9_best_fit_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_bpe_codec, op8_token_counts, op9_best_fit_packing,
+    op1_toxicity, op2_html_text, op3_bpe_codec, op8_token_counts, op9_best_fit_packing,
 )}
 ORACLE: dict[str, str] = {}
