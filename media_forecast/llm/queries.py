@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from media_forecast.llm import bpe, html_text, packing, token_counts, toxicity
+from media_forecast.llm import bpe, fingerprints, html_text, packing, secrets, token_counts, toxicity
 from media_forecast.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op3_bpe_codec(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark, sf_dir):
+    return fingerprints.neighbours(table(spark, sf_dir, "documents"))
+
+
+def op5_secret_ledger(spark, sf_dir):
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -27,6 +35,6 @@ def op9_best_fit_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_html_text, op3_bpe_codec, op8_token_counts, op9_best_fit_packing,
+    op1_toxicity, op2_html_text, op3_bpe_codec, op4_fingerprints, op5_secret_ledger, op8_token_counts, op9_best_fit_packing,
 )}
 ORACLE: dict[str, str] = {}
