@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from media_forecast.llm import bpe, fingerprints, graph_search, html_text, packing, secrets, token_counts, toxicity
+from media_forecast.llm import bpe, fingerprints, graph_search, html_text, packing, secrets, shingle_join, token_counts, toxicity
 from media_forecast.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op6_graph_search(spark, sf_dir):
     return graph_search.search(rows, rows.where("vec_id % 100 = 0"))
 
 
+def op7_shingle_join(spark, sf_dir):
+    return shingle_join.components_of(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,6 @@ def op9_best_fit_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_html_text, op3_bpe_codec, op4_fingerprints, op5_secret_ledger, op6_graph_search, op8_token_counts, op9_best_fit_packing,
+    op1_toxicity, op2_html_text, op3_bpe_codec, op4_fingerprints, op5_secret_ledger, op6_graph_search, op7_shingle_join, op8_token_counts, op9_best_fit_packing,
 )}
 ORACLE: dict[str, str] = {}
