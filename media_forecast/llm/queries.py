@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from media_forecast.llm import bpe, fingerprints, graph_search, html_text, packing, secrets, shingle_join, token_counts, toxicity
+from media_forecast.llm import bpe, fingerprints, graph_search, html_text, packing, secrets, shingle_join, suffix_dedup, token_counts, toxicity
 from media_forecast.llm.common import table
 
 
@@ -43,7 +43,11 @@ def op9_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_html_text, op3_bpe_codec, op4_fingerprints, op5_secret_ledger, op6_graph_search, op7_shingle_join, op8_token_counts, op9_best_fit_packing,
+    op1_toxicity, op2_html_text, op3_bpe_codec, op4_fingerprints, op5_secret_ledger, op6_graph_search, op7_shingle_join, op8_token_counts, op9_best_fit_packing, op10_suffix_dedup,
 )}
 ORACLE: dict[str, str] = {}
