@@ -34,6 +34,8 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
+from media_forecast.shipping import ship_package
+
 VOCAB = "word_bpe_49k.json"
 CACHE_WORDS = 600_000  # words remembered by a worker; memory bound only
 # The split pattern and the white space of the vocabulary file.
@@ -257,6 +259,7 @@ def vocabulary(path: str, with_text: bool = True) -> Vocabulary:
 
 def digests(docs: DataFrame, vocab: str = VOCAB) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row's whole text."""
+    ship_package(docs.sparkSession)
 
     def run(batches):
         v = vocabulary(public_tokenizers.path(vocab))

@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from media_forecast.session import ensure_checkpoint_dir
-from media_forecast.shipping import ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)
+
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

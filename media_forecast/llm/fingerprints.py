@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from media_forecast.llm.common import mix64, shuffle_width
+from media_forecast.shipping import ship_package
 
 SPAN = 7  # bytes of the rolling hash
 SMALLEST = 3
@@ -168,6 +169,7 @@ def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
 
 def neighbours(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Each document's fingerprint, its edited text's, and likenesses to it and to the next document's."""
+    ship_package(docs.sparkSession)
     ranges = ranges or shuffle_width(docs)
     rows = in_ranges(docs, ranges)
 

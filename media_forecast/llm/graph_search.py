@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from media_forecast.llm.common import stored
+from media_forecast.shipping import ship_package
 
 SHARD, QUERY_BLOCK = 3000, 1024
 DEGREE, BEAM, ALPHA = 32, 128, 1.2
@@ -165,6 +166,7 @@ def search(
     rows: DataFrame, queries: DataFrame, k: int = NEAREST, shard: int = SHARD, beam: int = BEAM, degree: int = DEGREE
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query among all rows but its own id."""
+    ship_package(rows.sparkSession)
     rows, queries = usable(rows), usable(queries)
     base = stored(classes(rows, k), "vectors")
     asked = queries.select(F.col("vec_id").alias("query_id"), "embedding")

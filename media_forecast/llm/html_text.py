@@ -27,6 +27,8 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from media_forecast.shipping import ship_package
+
 WINDOW = 3  # lines in a block
 SURGE = 60  # characters of a block at a surge
 
@@ -164,6 +166,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each page."""
+    ship_package(pages.sparkSession)
 
     def run(batches):
         for b in batches:

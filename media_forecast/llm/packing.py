@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from media_forecast.llm.bpe import VOCAB, vocabulary
 from media_forecast.llm.common import stored
+from media_forecast.shipping import ship_package
 
 CAPACITY = 4096
 END_ID = 1
@@ -35,6 +36,7 @@ END_ID = 1
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocab: str = VOCAB) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each row's ids with the end id behind them."""
+    ship_package(docs.sparkSession)
     tail = END_ID.to_bytes(4, "little")
 
     def run(batches):

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from media_forecast.llm.common import components, mix64, shuffle_width, stored
+from media_forecast.shipping import ship_package
 
 WORDS = 5
 LEAST = 80  # percent
@@ -72,6 +73,7 @@ def set_key(h: np.ndarray) -> int:
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, key): size and identity of each document's set; key null if empty."""
+    ship_package(docs.sparkSession)
 
     def run(batches):
         known = WordHashes()
@@ -257,3 +259,16 @@ def components_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return signed.join(of_class, "key", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` without those whose component has a smaller doc_id.
+
+    Rows that share a doc_id are one document: they stay or go together, equal texts once. Null doc_ids stay.
+    """
+    found = stored(components_of(docs, words), "components")
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__rows")).where("__rows > 1")
+    left = docs.join(gone, "doc_id", "left_anti").join(again, "doc_id", "left")
+    once = left.where("__rows IS NULL").unionAll(left.where("__rows IS NOT NULL").dropDuplicates(["doc_id", "text"]))
+    return once.select(*docs.columns)

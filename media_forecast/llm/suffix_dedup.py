@@ -29,13 +29,16 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from media_forecast.llm.common import mix64, shuffle_width
+from media_forecast.llm.common import mix64, shuffle_width, stored
+from media_forecast.shipping import ship_package
 
 LENGTH, GRAM = 100, 20
+WHOLE, SPANS = "__whole", "__spans"
 BLOCK = 1 << 20  # bytes of a text handled at once
 FLUSH = 24_000_000  # bytes that a task holds before it sends them on
 KEY_SEED = 42  # of Spark's xxhash64
@@ -284,28 +287,29 @@ def merged(spans: list) -> list[tuple[int, int]]:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, whole, spans): per row its text, whether all of it goes, and else the covered byte spans."""
+    """``docs`` with columns WHOLE, whether all of a row's text goes, and SPANS, else its covered byte spans."""
+    ship_package(docs.sparkSession)
     buckets = shuffle_width(docs)
-    order_id = F.coalesce("doc_id", F.lit(-(2**63)))
-    texts = docs.select(order_id.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    heads = docs.select(order_id.alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")).groupBy("key").agg(
-        F.min("doc_id").alias("head")
+    keyed = docs.withColumn("__id", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn(
+        "__key", F.xxhash64(F.coalesce("text", F.lit("")))
     )
+    texts = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = stored(texts.select("doc_id", F.xxhash64("text").alias("key"), F.octet_length("text").alias("size")), "text_ids")
+    heads = ids.groupBy("key").agg(F.min("doc_id").alias("head"))
     lows = repeated_minima(minima(docs, buckets)).groupBy("key").agg(F.collect_list("low").alias("lows"))
     wanted = lows.join(heads, "key").select("key", F.col("head").alias("doc_id"), "lows")
     # One row for each text: rows of equal doc_id and text are one document here.
-    firsts = texts.join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+    firsts = texts.withColumn("key", F.xxhash64("text")).join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
     spans = segments(firsts, buckets).groupBy("bucket").applyInPandas(covered, "doc_id long, key long, start long, end long")
-    per_text = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    marks = (
-        docs.select(order_id.alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")).distinct()
-        .join(heads, "key").join(per_text, ["doc_id", "key"], "left")
-        .select("doc_id", "key", (F.col("doc_id") > F.col("head")).alias("copy"), "spans")
-        .where("copy OR spans IS NOT NULL")
+    per_text = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias(SPANS))
+    whole = (F.col("doc_id") > F.col("head")) & (F.col("size") >= LENGTH)
+    marks = stored(
+        ids.distinct().join(heads, "key").join(per_text, ["doc_id", "key"], "left")
+        .select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), whole.alias(WHOLE), SPANS)
+        .where(f"{WHOLE} OR {SPANS} IS NOT NULL"), "spans",
     )
-    return texts.join(marks, ["doc_id", "key"], "left").select(
-        F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id"), "text",
-        (F.coalesce("copy", F.lit(False)) & (F.octet_length("text") >= LENGTH)).alias("whole"), "spans",
+    return keyed.join(marks, ["__id", "__key"], "left").select(
+        *docs.columns, F.coalesce(WHOLE, F.lit(False)).alias(WHOLE), SPANS
     )
 
 
@@ -330,13 +334,51 @@ def digests(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for doc, text, whole, spans in zip(b["doc_id"], b["text"], b["whole"], b["spans"], strict=True):
-                raw = text.encode("utf-8")
+            for text, whole, spans in zip(*(b.column(c).to_pylist() for c in ("text", WHOLE, SPANS)), strict=True):
+                raw = (text or "").encode("utf-8")
                 cut = row_spans(len(raw), whole, spans)
-                rows.append((
-                    doc, len(raw), sum(e - s for s, e in cut), len(cut), hashlib.sha256(kept_bytes(raw, cut)).hexdigest(),
-                ))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            yield out.astype({"doc_id": "Int64"})
+                rows.append((len(raw), sum(e - s for s, e in cut), len(cut), hashlib.sha256(kept_bytes(raw, cut)).hexdigest()))
+            n, removed, count, sha = zip(*rows, strict=True) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(sha, pa.string())],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            )
+
+    return removals(docs.select("doc_id", "text")).mapInArrow(
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    )
+
+
+def whole_signs(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans without the parts of characters that they cut."""
+    out = []
+    for s, e in spans:
+        while s < e and raw[s] & 0xC0 == 0x80:
+            s += 1
+        while e > s and e < len(raw) and raw[e] & 0xC0 == 0x80:
+            e -= 1
+        out.append((s, e))
+    return out
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the covered text removed, whole characters only; n_chars follows; every row and other column stays."""
+    marked = removals(docs)
+    names = docs.columns
 
-    return removals(docs).mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    def run(batches):
+        for b in batches:
+            texts, sizes = [], b.column("n_chars").to_pylist() if "n_chars" in names else []
+            for i, (text, whole, spans) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", WHOLE, SPANS)), strict=True)):
+                if text is not None and (whole or spans is not None):
+                    raw = text.encode("utf-8")
+                    text = kept_bytes(raw, whole_signs(raw, row_spans(len(raw), whole, spans))).decode("utf-8")
+                    if sizes:
+                        sizes[i] = len(text)
+                texts.append(text)
+            new = {"text": texts, "n_chars": sizes}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(new[c], b.column(c).type) if c in new else b.column(c) for c in names], names=names
+            )
+
+    return marked.mapInArrow(run, docs.schema)

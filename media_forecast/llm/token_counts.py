@@ -23,6 +23,8 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from media_forecast.shipping import ship_package
+
 MODEL = "piece_bpe_32k.model"
 CHUNK, OVERLAP = 20_000, 256  # bytes
 LIMIT = 4096
@@ -111,6 +113,7 @@ def token_counts(
     docs: DataFrame, model: str = MODEL, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP
 ) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of each row's whole text."""
+    ship_package(docs.sparkSession)
 
     def run(batches):
         c = counter(public_tokenizers.path(model), chunk, overlap)

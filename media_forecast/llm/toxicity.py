@@ -31,9 +31,13 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+
+from media_forecast.shipping import ship_package
 
 WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6)
@@ -209,6 +213,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
     """(terms, idf, examples, prior): all bounded by ``sample`` rows and ``MAX_TERMS`` terms."""
+    ship_package(docs.sparkSession)
     rows = sample_of(docs, labels, sample)
     terms = pick_terms(rows)
     n, df = corpus_frequencies(docs, terms) if terms else (0, {})
@@ -230,17 +235,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
     return terms, idf, examples, min(prior, 0.49)
 
 
+SCORE, EVIDENCE = "__toxicity_score", "__toxicity_evidence"
+
+
 def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with toxicity_score and toxicity_evidence (doc_ids of the nearest examples) added; other columns stay."""
+    """``docs`` with its score and evidence (doc_ids of the nearest examples) as columns SCORE and EVIDENCE; all columns stay."""
     model_parts = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
-    keep = docs.select("doc_id", "text")
 
     def run(batches):
         model = Model(*model_parts.value)
         find, memo = Terms(model.terms), {}
         for b in batches:
             got = []
-            for t in b["text"]:
+            for t in b.column("text").to_pylist():
                 counts = find.counts(t)
                 key = tuple(sorted(counts.items()))
                 if key not in memo:
@@ -248,15 +255,21 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
                         memo.clear()
                     memo[key] = model.score(counts)
                 got.append(memo[key])
-            yield b.assign(toxicity_score=[g[0] for g in got], toxicity_evidence=[g[1] for g in got])
+            b = b.append_column(SCORE, pa.array([g[0] for g in got], pa.float64()))
+            yield b.append_column(EVIDENCE, pa.array([g[1] for g in got], pa.list_(pa.int64())))
 
-    return keep.mapInPandas(run, "doc_id long, text string, toxicity_score double, toxicity_evidence array<long>")
+    schema = StructType([*docs.schema.fields, StructField(SCORE, DoubleType()), StructField(EVIDENCE, ArrayType(LongType()))])
+    return docs.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of each document."""
-    return scores(docs, labels, sample).select(
-        "doc_id", held_out().alias("held_out"), F.col("toxicity_score").alias("score"),
-        (F.col("toxicity_score") >= 0.5).cast("int").alias("predicted"),
-        F.col("toxicity_evidence").alias("evidence"),
+    return scores(docs.select("doc_id", "text"), labels, sample).select(
+        "doc_id", held_out().alias("held_out"), F.col(SCORE).alias("score"),
+        (F.col(SCORE) >= 0.5).cast("int").alias("predicted"), F.col(EVIDENCE).alias("evidence"),
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` whose score is below 0.5."""
+    return scores(docs, labels, sample).where(F.col(SCORE) < 0.5).select(*docs.columns)
