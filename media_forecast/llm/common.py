@@ -31,7 +31,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def shuffle_width(df: DataFrame) -> int:
     """Number of buckets for keyed array work: follows the input's partitions and the session's setting."""
     spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * df.rdd.getNumPartitions())
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * df.rdd.getNumPartitions())
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

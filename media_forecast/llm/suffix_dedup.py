@@ -40,7 +40,8 @@ from media_forecast.shipping import ship_package
 LENGTH, GRAM = 100, 20
 WHOLE, SPANS = "__whole", "__spans"
 BLOCK = 1 << 20  # bytes of a text handled at once
-FLUSH = 24_000_000  # bytes that a task holds before it sends them on
+FLUSH = 16_000_000  # bytes that a task holds before it sends them on
+RANKED = 2_000_000  # bytes of runs whose suffixes are ranked together; one minimum's runs are never split
 KEY_SEED = 42  # of Spark's xxhash64
 
 
@@ -198,12 +199,12 @@ COLUMNS = ["bucket", "low", "doc_id", "key", "first", "strings", "repeats", "seg
 def prefix_ranks(data: np.ndarray) -> np.ndarray:
     """Rank of every place by its next LENGTH bytes (places with fewer have none): prefix doubling."""
     view = np.ndarray((len(data) - 7,), ">u8", data.tobytes(), strides=(1,))
-    rank = np.unique(view.astype(np.uint64), return_inverse=True)[1].astype(np.uint64)
+    rank = np.unique(view.astype(np.uint64), return_inverse=True)[1].astype(np.uint32)
     have = 8
     while have < LENGTH:
         shift = min(have, LENGTH - have)
-        pair = (rank[: len(rank) - shift] << np.uint64(32)) | rank[shift:]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
+        pair = (rank[: len(rank) - shift].astype(np.uint64) << np.uint64(32)) | rank[shift:]
+        rank = np.unique(pair, return_inverse=True)[1].astype(np.uint32)
         have += shift
     return rank
 
@@ -253,7 +254,7 @@ def covered(pdf: pd.DataFrame) -> pd.DataFrame:
                 kept.setdefault(low, []).append((seg, p))
             else:
                 out.append((p[0], p[1], p[2], p[2] + p[3] - 1 + LENGTH))
-    # Equal strings have equal minima: minima are ranked together up to about FLUSH bytes, and never split.
+    # Equal strings have equal minima: minima are ranked together up to about RANKED bytes, and never split.
     part: list[tuple] = []
     size = 0
 
@@ -267,7 +268,7 @@ def covered(pdf: pd.DataFrame) -> pd.DataFrame:
             continue
         part += group
         size += sum(len(seg) for seg, _ in group)
-        if size >= FLUSH:
+        if size >= RANKED:
             rank_part()
             part, size = [], 0
     if part:
