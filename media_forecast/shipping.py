@@ -16,10 +16,16 @@ from pyspark.sql import SparkSession
 
 PACKAGE_ROOT = Path(__file__).resolve().parent
 _FLAG = "media_forecast.shipped"
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Add the package to the session's Python files once per Spark application."""
+    """Add the package to the session's Python files once per Spark application.
+
+    Also keeps Arrow batches small unless the session sets its own size.
+    """
+    if spark.conf.get(_ROWS) == "10000":  # Spark's default; rows here are whole texts
+        spark.conf.set(_ROWS, "1000")
     sc = spark.sparkContext
     if getattr(sc, _FLAG, False):
         return
