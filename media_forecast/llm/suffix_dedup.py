@@ -40,7 +40,7 @@ from media_forecast.shipping import ship_package
 LENGTH, GRAM = 100, 20
 WHOLE, SPANS = "__whole", "__spans"
 BLOCK = 1 << 20  # bytes of a text handled at once
-FLUSH = 16_000_000  # bytes that a task holds before it sends them on
+FLUSH = 8_000_000  # bytes that a task holds before it sends them on
 RANKED = 2_000_000  # bytes of runs whose suffixes are ranked together; one minimum's runs are never split
 KEY_SEED = 42  # of Spark's xxhash64
 
@@ -123,7 +123,7 @@ def minima(texts: DataFrame, buckets: int) -> DataFrame:
                 keys[key] = None
                 held.append((distinct, many.astype(np.uint8)))
                 size += len(distinct)
-                if size >= FLUSH // 16:
+                if size >= FLUSH // 8:
                     yield flush()
                     held, keys, size = [], {}, 0
         if held:
