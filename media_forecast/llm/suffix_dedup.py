@@ -85,7 +85,8 @@ def runs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def bucket_of(low: np.ndarray, buckets: int) -> np.ndarray:
-    return ((low >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    """Even hash ranges: minima themselves crowd at the low end, so they are hashed once more."""
+    return ((mix64(low) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def minima(texts: DataFrame, buckets: int) -> DataFrame:
