@@ -155,7 +155,7 @@ def repeated_minima(parts: DataFrame) -> DataFrame:
 
 
 def segments(firsts: DataFrame, buckets: int) -> DataFrame:
-    """The repeated runs of ``firsts(doc_id, key, text, lows)``; without bytes where the sending task had them earlier."""
+    """The repeated runs of ``firsts(__id, __key, text, __lows, ...)``; without bytes where the sending task had them earlier."""
 
     def run(batches):
         held: dict[tuple, list] = {}  # (minimum, bytes) -> places (doc, key, first string, strings, repeats)
@@ -173,8 +173,8 @@ def segments(firsts: DataFrame, buckets: int) -> DataFrame:
             return out.assign(bucket=bucket_of(out["low"].to_numpy(np.int64).astype(np.uint64), buckets))[COLUMNS]
 
         for b in batches:
-            for doc, key, text, lows in zip(b["doc_id"], b["key"], b["text"], b["lows"], strict=True):
-                raw = text.encode("utf-8")
+            for doc, key, text, lows in zip(b["__id"], b["__key"], b["text"], b["__lows"], strict=True):
+                raw = (text or "").encode("utf-8")
                 low, first, count, repeats = runs(raw)
                 low = low.astype(np.int64)
                 for i in np.flatnonzero(np.isin(low, lows)):
@@ -189,7 +189,7 @@ def segments(firsts: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return firsts.select("doc_id", "key", "text", "lows").mapInPandas(
+    return firsts.mapInPandas(
         run, "bucket int, low long, doc_id long, key long, first long, strings int, repeats boolean, seg binary"
     )
 
@@ -292,23 +292,23 @@ def removals(docs: DataFrame) -> DataFrame:
     """``docs`` with columns WHOLE, whether all of a row's text goes, and SPANS, else its covered byte spans."""
     ship_package(docs.sparkSession)
     buckets = shuffle_width(docs)
-    keyed = docs.withColumn("__id", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn(
-        "__key", F.xxhash64(F.coalesce("text", F.lit("")))
-    )
-    texts = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = stored(texts.select("doc_id", F.xxhash64("text").alias("key"), F.octet_length("text").alias("size")), "text_ids")
-    heads = ids.groupBy("key").agg(F.min("doc_id").alias("head"))
-    lows = repeated_minima(minima(docs, buckets)).groupBy("key").agg(F.collect_list("low").alias("lows"))
-    wanted = lows.join(heads, "key").select("key", F.col("head").alias("doc_id"), "lows")
-    # One row for each text: rows of equal doc_id and text are one document here.
-    firsts = texts.withColumn("key", F.xxhash64("text")).join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+    low_id = F.lit(-(2**63))
+    keyed = docs.withColumn("__id", F.coalesce("doc_id", low_id)).withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    ids = stored(keyed.select("__id", "__key", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")), "text_ids")
+    heads = ids.groupBy("__key").agg(F.min("__id").alias("head"))
+    lows = repeated_minima(minima(docs, buckets)).groupBy("key").agg(F.collect_list("low").alias("__lows"))
+    wanted = lows.join(heads, lows["key"] == heads["__key"]).select("__key", F.col("head").alias("__id"), "__lows")
+    # One row for each text: rows of equal doc_id and text are one document here. All columns are kept
+    # so that this join and the last one read the same shuffle of the texts.
+    firsts = keyed.join(wanted, ["__id", "__key"]).dropDuplicates(["__id", "__key"])
     spans = segments(firsts, buckets).groupBy("bucket").applyInPandas(covered, "doc_id long, key long, start long, end long")
-    per_text = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias(SPANS))
-    whole = (F.col("doc_id") > F.col("head")) & (F.col("size") >= LENGTH)
-    marks = stored(
-        ids.distinct().join(heads, "key").join(per_text, ["doc_id", "key"], "left")
-        .select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), whole.alias(WHOLE), SPANS)
-        .where(f"{WHOLE} OR {SPANS} IS NOT NULL"), "spans",
+    per_text = spans.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(
+        F.collect_list(F.struct("start", "end")).alias(SPANS)
+    )
+    whole = (F.col("__id") > F.col("head")) & (F.col("size") >= LENGTH)
+    marks = (
+        ids.distinct().join(heads, "__key").join(per_text, ["__id", "__key"], "left")
+        .select("__id", "__key", whole.alias(WHOLE), SPANS).where(f"{WHOLE} OR {SPANS} IS NOT NULL")
     )
     return keyed.join(marks, ["__id", "__key"], "left").select(
         *docs.columns, F.coalesce(WHOLE, F.lit(False)).alias(WHOLE), SPANS
