@@ -54,6 +54,9 @@ def byte_signs() -> list[str]:
     return [chr(b) if b in keep else chr(next(others)) for b in range(256)]
 
 
+NOTHING = (b"", "", "")
+
+
 class Vocabulary:
     """Merge tables of a word-end BPE vocabulary, with an encoder and a decoder."""
 
@@ -203,7 +206,14 @@ class Vocabulary:
         low = unicodedata.normalize("NFC", word)
         low = low.lower() if "Σ" not in low else "".join(c.lower() for c in low)
         ids: list[int] = []
-        for piece in PIECES.findall(low):
+        # The usual words need no pattern: letters only, or letters and one sign behind them.
+        if low.isalpha():
+            found = (low,)
+        elif low[-1] in ",." and low[:-1].isalpha():
+            found = (low[:-1], low[-1])
+        else:
+            found = PIECES.findall(low)
+        for piece in found:
             got = self.pieces.get(piece)
             if got is None:
                 raw = piece.encode("utf-8")
@@ -212,7 +222,7 @@ class Vocabulary:
                     self.pieces.clear()
                 self.pieces[piece] = got
             ids += got
-        out = None
+        out = NOTHING
         if ids:
             raw = pack(f"<{len(ids)}I", *ids)
             out = (raw, " ".join(map(str, ids)), self.decode(ids)) if self.with_text else (raw, "", "")
@@ -231,15 +241,20 @@ class Vocabulary:
                 out.append((pack("<I", i), str(i), self.decode([i])))
                 continue
             for w in SPACES.split(run) if ODD_SPACE.search(run) else run.split():
-                got = get(w, 0)
-                if got == 0:
-                    got = self._lookup(w) if w else None
-                if got is not None:
+                got = get(w) or (self._lookup(w) if w else NOTHING)
+                if got[0]:
                     out.append(got)
         return out
 
+    def id_bytes(self, text: str | None) -> bytes:
+        """The ids as little-endian uint32."""
+        if text and "<|" not in text and not ODD_SPACE.search(text):
+            words, missing = self.words, self._lookup
+            return b"".join([(words.get(w) or missing(w))[0] for w in text.split()])
+        return b"".join([p[0] for p in self.parts(text)])
+
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join([p[0] for p in self.parts(text)]), "<u4")
+        return np.frombuffer(self.id_bytes(text), "<u4")
 
     def decode(self, ids) -> str:
         buf, off = self.buffer, self.offsets

@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocab: str = VOCAB) -> Dat
         for b in batches:
             rows = []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                raw = b"".join([p[0] for p in v.parts(text)]) + tail
+                raw = v.id_bytes(text) + tail
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at: at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
