@@ -8,6 +8,7 @@ from .columns import (  # noqa: F401
     exact_sum,
     exact_sum_nullable,
     nan_to_null,
+    number,
     out_round,
     safe_ratio,
     shortest_number,

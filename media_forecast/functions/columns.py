@@ -5,7 +5,7 @@ whole-stage codegen; nothing here runs Python per row.
 
 Numeric policy (kept identical in the SQL oracles):
 
-* money and other fractional measures are summed as ``DECIMAL(18,4)`` so a
+* money and other fractional measures are summed as ``DECIMAL(28,6)`` so a
   total does not depend on partition or task order, then cast back to double;
 * ratios use a safe division where a zero or missing denominator gives 0.0;
 * published figures are rounded once, at the output, through a decimal so the
@@ -27,7 +27,8 @@ MISSING_TOKENS = [
     "nan", "null",
 ]
 
-MONEY = "decimal(18,4)"
+# Micros and fractional conversions stay exact: six places, 22 digits before the point.
+MONEY = "decimal(28,6)"
 
 
 def col_of(c) -> Column:
@@ -35,7 +36,7 @@ def col_of(c) -> Column:
 
 
 def exact(c) -> Column:
-    """A fractional measure as an exact 4-dp decimal (input to exact sums)."""
+    """A fractional measure as an exact 6-dp decimal (input to exact sums)."""
     return col_of(c).cast(MONEY)
 
 
@@ -50,8 +51,13 @@ def exact_sum_nullable(c) -> Column:
 
 
 def safe_ratio(num, den) -> Column:
-    """num / den; 0.0 when the denominator is 0, missing or the result is missing."""
-    return F.coalesce(F.try_divide(col_of(num).cast("double"), col_of(den).cast("double")), F.lit(0.0))
+    """num / den; 0.0 when the denominator is 0 or either side is missing, NaN or not a number."""
+    return F.coalesce(F.try_divide(number(num), number(den)), F.lit(0.0))
+
+
+def number(c) -> Column:
+    """A measure as double; text that is no number and NaN become null."""
+    return nan_to_null(col_of(c).try_cast("double"))
 
 
 def out_round(c, digits: int = 2) -> Column:

@@ -3,13 +3,14 @@
 Each campaign (channel, name, type) gets its share of the channel's median
 forecast: by revenue over the look-back when the channel has revenue, else by
 spend, else zero. Channels without a forecast keep a missing allocation.
-Shares come from a window sum over the campaign roll-up (already one row per
-campaign), and the forecast side has one row per channel.
+Channel totals are pre-aggregated sums joined back to the campaigns, so no
+task holds all campaigns of a channel. The forecast side has one row per
+scenario and channel; every scenario is allocated.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exact
@@ -20,15 +21,15 @@ BASIS_REVENUE, BASIS_SPEND, BASIS_NONE = "Revenue share", "Spend share", "No spe
 
 
 def allocate(df: DataFrame, forecast: DataFrame, lookback_days: int = DEFAULT_LOOKBACK_DAYS) -> DataFrame:
-    """``forecast``: one row per channel with ``revenue_median`` (e.g. one scenario)."""
+    """``forecast``: one row per ``scenario_id`` (if it has that column) and ``channel`` with ``revenue_median``."""
+    scenario = ["scenario_id"] if "scenario_id" in forecast.columns else []
     camp = campaign_history(df, lookback_days)
-    per_channel = Window.partitionBy("channel")
-    camp = camp.select(
-        "*",
-        F.sum(exact("historical_revenue")).over(per_channel).cast("double").alias("ch_revenue"),
-        F.sum(exact("historical_spend")).over(per_channel).cast("double").alias("ch_spend"),
+    totals = camp.groupBy("channel").agg(
+        F.sum(exact("historical_revenue")).cast("double").alias("ch_revenue"),
+        F.sum(exact("historical_spend")).cast("double").alias("ch_spend"),
     )
-    fc = forecast.select("channel", F.col("revenue_median").alias("ch_forecast"), F.lit(True).alias("has_fc"))
+    camp = camp.join(totals, "channel")
+    fc = forecast.select(*scenario, "channel", F.col("revenue_median").alias("ch_forecast"), F.lit(True).alias("has_fc"))
     j = camp.join(fc, "channel", "left")
     has = F.col("has_fc").isNotNull()
     by_rev = F.col("ch_revenue") > 0
@@ -40,12 +41,13 @@ def allocate(df: DataFrame, forecast: DataFrame, lookback_days: int = DEFAULT_LO
     basis = (F.when(~has, F.lit(None).cast("string")).when(by_rev, F.lit(BASIS_REVENUE))
              .when(by_spend, F.lit(BASIS_SPEND)).otherwise(F.lit(BASIS_NONE)))
     return j.select(
-        "channel", "campaign_name", "campaign_type", "historical_spend", "historical_revenue",
+        *scenario, "channel", "campaign_name", "campaign_type", "historical_spend", "historical_revenue",
         value.alias("forecast_revenue"), basis.alias("allocation_basis"),
         (F.col("estimated_revenue_rows") > 0).alias("revenue_is_estimated"), "revenue_source",
     )
 
 
 def ranked(allocation: DataFrame) -> DataFrame:
-    """Largest forecast first (ties by channel, campaign)."""
-    return allocation.orderBy(F.col("forecast_revenue").desc_nulls_last(), "channel", "campaign_name", "campaign_type")
+    """By scenario, largest forecast first (ties by channel, campaign)."""
+    scenario = ["scenario_id"] if "scenario_id" in allocation.columns else []
+    return allocation.orderBy(*scenario, F.col("forecast_revenue").desc_nulls_last(), "channel", "campaign_name", "campaign_type")

@@ -23,7 +23,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import exact, out_round
+from ..functions import out_round
 from .features import horizon_columns, weekly_spend
 
 INTERVAL_WIDTH = 0.75  # fixed value: width of the trend-model interval
@@ -39,7 +39,8 @@ def _moment(expr: Column, w) -> Column:
 def spend_response_moments(weekly_df: DataFrame, keys: list[str]) -> DataFrame:
     """Weekly rows with their series' exact moment sums and fitted line."""
     w = Window.partitionBy(*keys)
-    x, y = exact("spend"), exact("revenue")
+    # Narrower than MONEY so that products stay exact in 38 digits.
+    x, y = F.col("spend").cast("decimal(18,6)"), F.col("revenue").cast("decimal(18,6)")
     df = weekly_df.select(
         *keys, "week", "spend", "revenue",
         F.count(F.lit(1)).over(w).alias("n_weeks"),

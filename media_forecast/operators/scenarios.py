@@ -7,7 +7,7 @@ nothing loops on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,8 +169,8 @@ def roas_long(forecast: DataFrame) -> DataFrame:
 
 def budget_share(scenarios: DataFrame) -> DataFrame:
     """Planned spend as a share of the scenario's total (4 dp)."""
-    w = Window.partitionBy("scenario_id")
-    total = F.sum(exact("planned_spend")).over(w).cast("double")
-    return scenarios.select("scenario_id", "channel", "planned_spend",
+    totals = scenarios.groupBy("scenario_id").agg(F.sum(exact("planned_spend")).cast("double").alias("total"))
+    total = F.col("total")
+    return scenarios.join(totals, "scenario_id").select("scenario_id", "channel", "planned_spend",
                             F.when(total != 0, out_round(F.col("planned_spend") / total, 4))
                             .otherwise(F.lit(0.0)).alias("share"))

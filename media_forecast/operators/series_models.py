@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from ..functions import out_round
 from . import features as feat
 from .models import QUANTILES, Z_INTERVAL
+from ..shipping import ship_package
 
 CHANGEPOINT_RANGE = 0.95  # fixed value: changepoints placed over the first 95 % of history
 MAX_CHANGEPOINTS = 10
@@ -89,6 +90,7 @@ def _key_fields(df: DataFrame, keys: list[str]) -> list[T.StructField]:
 
 
 def fit_trend(weekly_df: DataFrame, keys: list[str]) -> DataFrame:
+    ship_package(weekly_df.sparkSession)
     schema = T.StructType(_key_fields(weekly_df, keys) + [
         T.StructField("n_weeks", T.LongType()),
         T.StructField("first_week", T.DateType()),
@@ -175,6 +177,7 @@ def _fit_quantile_group(keys: list[str]):
 
 
 def fit_quantile(weekly_df: DataFrame, keys: list[str]) -> DataFrame:
+    ship_package(weekly_df.sparkSession)
     arr = T.ArrayType(T.DoubleType())
     schema = T.StructType(_key_fields(weekly_df, keys) + [
         T.StructField("n_weeks", T.LongType()),

@@ -333,8 +333,8 @@ def weekly_of(spark, sf_dir, grain="channel"):
 
 def _features_sql(keys):
     k = ", ".join(keys)
-    mean = "CAST(SUM(CAST(spend AS DECIMAL(18,4))) OVER p AS DOUBLE) / CAST(COUNT(spend) OVER p AS DOUBLE)"
-    roll = ("CAST(SUM(CAST(spend AS DECIMAL(18,4))) OVER r AS DOUBLE) / CAST(COUNT(spend) OVER r AS DOUBLE)")
+    mean = "CAST(SUM(CAST(spend AS DECIMAL(28,6))) OVER p AS DOUBLE) / CAST(COUNT(spend) OVER p AS DOUBLE)"
+    roll = ("CAST(SUM(CAST(spend AS DECIMAL(28,6))) OVER r AS DOUBLE) / CAST(COUNT(spend) OVER r AS DOUBLE)")
     return S.with_fixtures(weekly_cte(keys), select=f"""
 SELECT *, CAST(month(week) AS INTEGER) AS month, CAST(quarter(week) AS INTEGER) AS quarter,
        CAST(weekofyear(week) AS INTEGER) AS week_of_year,
@@ -375,7 +375,7 @@ def q_future_week_grid(spark, sf_dir):
 
 def _future_features_sql():
     tails = ", ".join(
-        f"COALESCE(CAST(SUM(CASE WHEN rn <= {j} THEN CAST(spend AS DECIMAL(18,4)) END) AS DOUBLE), 0.0) AS tail{j}"
+        f"COALESCE(CAST(SUM(CASE WHEN rn <= {j} THEN CAST(spend AS DECIMAL(28,6)) END) AS DOUBLE), 0.0) AS tail{j}"
         for j in range(1, 5))
     w_fut = "LEAST(step - 1, 4)"
     h_hist = f"LEAST(n_hist, 4 - {w_fut})"
@@ -513,13 +513,13 @@ def q_roas_long(spark, sf_dir):
     return scenarios.roas_long(forecast_of(spark, sf_dir))
 
 
-@register("budget_share", S.with_fixtures(M.scenarios_cte(), select=f"""
+@register("budget_share", S.with_fixtures(*_FC_SQL, select=f"""
 SELECT scenario_id, channel, planned_spend,
        CASE WHEN t <> 0 THEN {S.rnd('planned_spend / t', 4)} ELSE {S.dbl(0.0)} END AS share
-FROM (SELECT *, CAST(SUM(CAST(planned_spend AS DECIMAL(18,4))) OVER (PARTITION BY scenario_id) AS DOUBLE) AS t
-      FROM sc)"""))
+FROM (SELECT *, CAST(SUM(CAST(planned_spend AS DECIMAL(28,6))) OVER (PARTITION BY scenario_id) AS DOUBLE) AS t
+      FROM fc)"""))
 def q_budget_share(spark, sf_dir):
-    return scenarios.budget_share(scenarios.default_scenarios(spark))
+    return scenarios.budget_share(forecast_of(spark, sf_dir))
 
 
 # ---------------------------------------------------------------------------
@@ -611,9 +611,6 @@ def q_backtest_score_campaign(spark, sf_dir):
     return backtest.score(backtest.runs(unified(spark, sf_dir), CAMP, BT_H, BT_W), CAMP)
 
 
-ALLOC_SCENARIO = 2  # default budgets at the default 60-day horizon
-
-
 @register("campaign_allocation", S.with_fixtures(
     *_FC_SQL, S.lookback_cte(), f"""
 camp AS (SELECT channel, campaign_name, campaign_type, {S.xsum('revenue')} AS historical_revenue,
@@ -622,13 +619,13 @@ camp AS (SELECT channel, campaign_name, campaign_type, {S.xsum('revenue')} AS hi
                 {S.sources_text()} AS revenue_source
          FROM recent WHERE channel IS NOT NULL AND campaign_name IS NOT NULL AND campaign_type IS NOT NULL
          GROUP BY channel, campaign_name, campaign_type)""", """
-cw AS (SELECT *, CAST(SUM(CAST(historical_revenue AS DECIMAL(18,4))) OVER (PARTITION BY channel) AS DOUBLE) AS ch_revenue,
-              CAST(SUM(CAST(historical_spend AS DECIMAL(18,4))) OVER (PARTITION BY channel) AS DOUBLE) AS ch_spend
+cw AS (SELECT *, CAST(SUM(CAST(historical_revenue AS DECIMAL(28,6))) OVER (PARTITION BY channel) AS DOUBLE) AS ch_revenue,
+              CAST(SUM(CAST(historical_spend AS DECIMAL(28,6))) OVER (PARTITION BY channel) AS DOUBLE) AS ch_spend
        FROM camp)""", f"""
-j AS (SELECT cw.*, f.revenue_median AS ch_forecast, f.channel IS NOT NULL AS has_fc
-      FROM cw LEFT JOIN (SELECT channel, revenue_median FROM fc WHERE scenario_id = {ALLOC_SCENARIO}) f
+j AS (SELECT cw.*, f.scenario_id, f.revenue_median AS ch_forecast, f.channel IS NOT NULL AS has_fc
+      FROM cw LEFT JOIN (SELECT scenario_id, channel, revenue_median FROM fc) f
       ON cw.channel = f.channel)""", select=f"""
-SELECT channel, campaign_name, campaign_type, historical_spend, historical_revenue,
+SELECT scenario_id, channel, campaign_name, campaign_type, historical_spend, historical_revenue,
        CASE WHEN NOT has_fc THEN NULL
             WHEN ch_revenue > 0 THEN historical_revenue / ch_revenue * ch_forecast
             WHEN ch_spend > 0 THEN historical_spend / ch_spend * ch_forecast ELSE {S.dbl(0.0)} END AS forecast_revenue,
@@ -637,8 +634,7 @@ SELECT channel, campaign_name, campaign_type, historical_spend, historical_reven
        est_rows > 0 AS revenue_is_estimated, revenue_source
 FROM j"""))
 def q_campaign_allocation(spark, sf_dir):
-    fc = forecast_of(spark, sf_dir).filter(F.col("scenario_id") == ALLOC_SCENARIO)
-    return allocation.ranked(allocation.allocate(unified(spark, sf_dir), fc))
+    return allocation.ranked(allocation.allocate(unified(spark, sf_dir), forecast_of(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------------------

@@ -19,7 +19,7 @@ def scenarios_cte(name: str = "sc") -> str:
 
 def fit_ctes(keys: list[str], src: str = "wk", out: str = "fit", min_weeks: int = 4) -> list[str]:
     k = ", ".join(keys)
-    x, y = "CAST(CAST(spend AS DECIMAL(18,4)) AS DECIMAL(38,4))", "CAST(CAST(revenue AS DECIMAL(18,4)) AS DECIMAL(38,4))"
+    x, y = "CAST(CAST(spend AS DECIMAL(18,6)) AS DECIMAL(38,6))", "CAST(CAST(revenue AS DECIMAL(18,6)) AS DECIMAL(38,6))"
     n = "CAST(n_weeks AS DOUBLE)"
     den = f"({n} * sxx - sx * sx)"
     q_aggs, q_cols = [], []
@@ -125,7 +125,7 @@ def blended_cte(fc: str = "fc", out: str = "bl") -> str:
     zero = dbl(0.0)
 
     def xs(c):
-        return f"COALESCE(CAST(SUM(CAST({c} AS DECIMAL(18,4))) AS DOUBLE), {zero})"
+        return f"COALESCE(CAST(SUM(CAST({c} AS DECIMAL(28,6))) AS DOUBLE), {zero})"
 
     def roas(c):
         return f"CASE WHEN total_spend <> 0 THEN {rnd(f'{c} / total_spend')} ELSE {zero} END"

@@ -12,11 +12,11 @@ from ..sources.fixtures import NAME_STEMS, TYPE_LABELS
 
 def xsum(c: str) -> str:
     """Exact 4-dp sum, 0.0 when empty."""
-    return f"COALESCE(CAST(SUM(CAST({c} AS DECIMAL(18,4))) AS DOUBLE), 0.0)"
+    return f"COALESCE(CAST(SUM(CAST({c} AS DECIMAL(28,6))) AS DOUBLE), 0.0)"
 
 
 def xsum_null(c: str) -> str:
-    return f"CAST(SUM(CAST({c} AS DECIMAL(18,4))) AS DOUBLE)"
+    return f"CAST(SUM(CAST({c} AS DECIMAL(28,6))) AS DOUBLE)"
 
 
 def isum(c: str) -> str:
@@ -68,7 +68,7 @@ li AS (
 ),
 google AS (
   SELECT d AS date, 'Google' AS channel, cid AS campaign_id, cname AS campaign_name, ctype AS campaign_type,
-         CAST(CAST(CAST(spend AS DECIMAL(18,4)) * 1000000 AS BIGINT) AS DOUBLE) / CAST(1000000.0 AS DOUBLE) AS spend,
+         CAST(CAST(CAST(spend AS DECIMAL(18,6)) * 1000000 AS BIGINT) AS DOUBLE) / CAST(1000000.0 AS DOUBLE) AS spend,
          revenue, clicks, impressions, conversions, budget AS daily_budget,
          FALSE AS revenue_is_estimated, 'metrics_conversions_value' AS revenue_source
   FROM li WHERE flag = 'A'

@@ -47,13 +47,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     Only when the session names none (local tests) a fresh scratch folder is
-    created; a cluster must always name a shared folder.
+    created; without a shared folder a cluster session raises.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         path = sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="mf-ckpt-", dir=os.environ.get("MF_SCRATCH", "/tmp"))
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)

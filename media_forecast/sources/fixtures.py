@@ -28,16 +28,9 @@ NULL_NAME_MODULUS, NULL_NAME_REMAINDER = 37, 1
 CHANNEL_FLAGS = {"Google": "A", "Bing": "N", "Meta": "R"}
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
-_BASES: dict[tuple[int, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet table as a lazy DataFrame, resolved once per session (the relation is immutable input)."""
-    key = (id(spark), f"{sf_dir}/{name}.parquet")
-    if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(key[1])
-    return _TABLES[key]
+    """Parquet table as a lazy DataFrame."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _by_modulo(key: Column, labels: list[str]) -> Column:
@@ -54,14 +47,7 @@ def base_rows(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Join + derive the shared measures (built once per session and folder)."""
-    key = (id(spark), sf_dir)
-    if key not in _BASES:
-        _BASES[key] = _build_base(spark, sf_dir)
-    return _BASES[key]
-
-
-def _build_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Join + derive the shared measures."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate",
         "l_returnflag")
@@ -78,7 +64,7 @@ def _build_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         name.alias("cname"),
         _by_modulo(key, TYPE_LABELS).alias("ctype"),
         spend.alias("spend"),
-        (exact(spend) * F.lit(1000000)).cast("long").alias("micros"),
+        (spend.cast("decimal(18,6)") * F.lit(1000000)).cast("long").alias("micros"),
         F.when(F.col("l_tax") == 0, F.lit(0.0))
         .otherwise(F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("revenue"),
         F.when(F.col("l_linenumber") == 7, F.lit(0)).otherwise(F.col("l_quantity").cast("long"))
