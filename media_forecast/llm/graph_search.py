@@ -184,7 +184,8 @@ def search(
 
     kind = base.schema["embedding"].dataType.simpleString()
     graph = stored(
-        dealt.groupBy("shard").applyInPandas(
+        # Few bytes and much work a shard: a task each, whatever their size.
+        dealt.repartition(2 * shards, "shard").groupBy("shard").applyInPandas(
             build, f"embedding {kind}, members array<long>, shard string, node int, is_start boolean, edges array<int>"
         ), "graph",
     )
