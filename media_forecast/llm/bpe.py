@@ -57,6 +57,21 @@ def byte_signs() -> list[str]:
 NOTHING = (b"", "", "")
 
 
+class Remembered(dict):
+    """Values of ``make(key)``, kept up to a memory bound and then forgotten at once."""
+
+    def __init__(self, make, most: int = CACHE_WORDS):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        got = self.make(key)
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = got
+        return got
+
+
 class Vocabulary:
     """Merge tables of a word-end BPE vocabulary, with an encoder and a decoder."""
 
@@ -107,6 +122,8 @@ class Vocabulary:
                     break
         self.words: dict[str, tuple] = {}
         self.pieces: dict[str, list[int]] = {}
+        self.raw_pieces = Remembered(self._raw_piece)
+        self.raw_words = Remembered(self._raw_word)
 
     def compatible(self, x: int, y: int) -> bool:
         """Whether tokens x, y stay apart when the text of both is merged in rank order."""
@@ -201,23 +218,37 @@ class Vocabulary:
             self.pairs[key] = got
         return got
 
-    def _lookup(self, word: str) -> tuple:
-        """(ids as little-endian uint32 bytes, decimal ids, decoded text) of one white-space-free word."""
-        low = unicodedata.normalize("NFC", word)
+    @staticmethod
+    def _split(word: str) -> tuple[str, ...] | list[str]:
+        """The lower-case pieces of one white-space-free word."""
+        low = word if word.isascii() else unicodedata.normalize("NFC", word)
         low = low.lower() if "Σ" not in low else "".join(c.lower() for c in low)
-        ids: list[int] = []
         # The usual words need no pattern: letters only, or letters and one sign behind them.
         if low.isalpha():
-            found = (low,)
-        elif low[-1] in ",." and low[:-1].isalpha():
-            found = (low[:-1], low[-1])
-        else:
-            found = PIECES.findall(low)
-        for piece in found:
+            return (low,)
+        if low[-1] in ",." and low[:-1].isalpha():
+            return (low[:-1], low[-1])
+        return PIECES.findall(low)
+
+    def _encode_piece(self, piece: str) -> list[int]:
+        raw = piece.encode("utf-8")
+        return self.encode_symbols(raw[:-1].decode("latin-1") + chr(raw[-1] + 256))
+
+    def _raw_piece(self, piece: str) -> bytes:
+        ids = self._encode_piece(piece)
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _raw_word(self, word: str) -> bytes:
+        found = self._split(word)
+        return self.raw_pieces[found[0]] if len(found) == 1 else b"".join([self.raw_pieces[p] for p in found])
+
+    def _lookup(self, word: str) -> tuple:
+        """(ids as little-endian uint32 bytes, decimal ids, decoded text) of one white-space-free word."""
+        ids: list[int] = []
+        for piece in self._split(word):
             got = self.pieces.get(piece)
             if got is None:
-                raw = piece.encode("utf-8")
-                got = self.encode_symbols(raw[:-1].decode("latin-1") + chr(raw[-1] + 256))
+                got = self._encode_piece(piece)
                 if len(self.pieces) >= CACHE_WORDS:
                     self.pieces.clear()
                 self.pieces[piece] = got
@@ -249,8 +280,7 @@ class Vocabulary:
     def id_bytes(self, text: str | None) -> bytes:
         """The ids as little-endian uint32."""
         if text and "<|" not in text and not ODD_SPACE.search(text):
-            words, missing = self.words, self._lookup
-            return b"".join([(words.get(w) or missing(w))[0] for w in text.split()])
+            return b"".join(map(self.raw_words.__getitem__, text.split()))
         return b"".join([p[0] for p in self.parts(text)])
 
     def encode(self, text: str | None) -> np.ndarray:
