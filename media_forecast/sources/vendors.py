@@ -8,7 +8,10 @@ prunes the scan to the fields used and pushes filters below it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import csv
+from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,12 +59,23 @@ def _double(df: _Fields, name: str) -> Column:
 def _long(df: _Fields, name: str) -> Column:
     if isinstance(df[name], (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         return F.col(name).cast("long")
-    return _double(df, name).cast("long")
+    # A count with a fraction is a fault of the export: it fails instead of being cut.
+    c = _double(df, name)
+    fault = F.raise_error(F.concat(F.lit(f"{name}: not a whole number: "), c.cast("string"))).cast("long")
+    return F.when(c.isNull() | (c == F.floor(c)), c.cast("long")).otherwise(fault)
+
+
+# Date texts read besides ISO; the month comes first where the order is open.
+DATE_PATTERNS = ["M/d/yyyy[ H:mm[:ss]]", "yyyy/M/d[ H:mm[:ss]]", "yyyyMMdd", "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy"]
 
 
 def _date(df: _Fields, name: str) -> Column:
-    c = clean_text(F.col(name)) if _is_text(df, name) else F.col(name)
-    return F.to_date(c)
+    if not _is_text(df, name):
+        return F.to_date(F.col(name))
+    c = F.trim(clean_text(F.col(name)))
+    others = [F.try_to_timestamp(c, F.lit(p)).cast("date") for p in DATE_PATTERNS]
+    fault = F.raise_error(F.concat(F.lit(f"{name}: not a date: "), c)).cast("date")
+    return F.when(c.isNotNull(), F.coalesce(c.try_cast("date"), *others, fault))
 
 
 def _campaign_id(df: _Fields, name: str) -> Column:
@@ -156,32 +170,77 @@ MAPPERS = {
 }
 
 
-def read_export_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Read vendor CSV export(s) as text columns by header name.
+def _header(spark: SparkSession, uri: str) -> tuple[str, tuple[str, ...]]:
+    """(path, header) of one CSV file; an empty file has no header."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        source = codec.createInputStream(stream) if codec is not None else stream
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return path.toString(), tuple(next(csv.reader([line.removeprefix("\ufeff")]), ())) if line else ()
+
+
+def export_headers(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files of an export by their header, for files, directories and globs.
+
+    Only the first line of each file is read, as a Parquet reader reads
+    footers; no rows reach the driver. Empty files are left out.
+    """
+    uris = sorted(spark.read.text(path).inputFiles())
+    groups: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(32) as pool:
+        for file, header in pool.map(lambda u: _header(spark, u), uris):
+            if header:
+                groups.setdefault(header, []).append(file)
+    if not groups:
+        raise ValueError(f"no CSV file with a header in {path!r}")
+    return groups
+
+
+def text_schema(header: Iterable[str]) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType(), True) for c in header])
+
+
+def read_exports(spark: SparkSession, path: str | list[str]) -> list[DataFrame]:
+    """CSV export(s) as text columns, one frame for each header that occurs.
 
     Every field is text so ids keep their digits and missing tokens are mapped
-    by the mapping step; extra columns and any column order are accepted.
-    Accepts files, directories and globs.
+    by the mapping step. Files may differ in column order and extra columns;
+    each is read by its own header, which Spark compares again while reading.
     """
-    return (
-        spark.read.option("header", True)
-        .option("inferSchema", False)
-        .option("mode", "FAILFAST")
-        .csv(path)
-    )
+    groups = export_headers(spark, path)
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
+    return [
+        reader.schema(text_schema(header)).csv(path if len(groups) == 1 else files)
+        for header, files in groups.items()
+    ]
+
+
+def read_export_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """All rows of :func:`read_exports` by column name; a column that a file lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read_exports(spark, path))
+
+
+def _mapped(spark: SparkSession, path, mapper: Callable[..., DataFrame], **options) -> DataFrame:
+    # Each header is mapped by itself: which fields there are decides how Meta revenue is found.
+    return reduce(DataFrame.unionByName, [mapper(raw, **options) for raw in read_exports(spark, path)])
 
 
 def load_google(spark: SparkSession, path) -> DataFrame:
-    return google_to_unified(read_export_csv(spark, path))
+    return _mapped(spark, path, google_to_unified)
 
 
 def load_bing(spark: SparkSession, path) -> DataFrame:
-    return bing_to_unified(read_export_csv(spark, path))
+    return _mapped(spark, path, bing_to_unified)
 
 
 def load_meta(spark: SparkSession, path, estimated_aov: float | None = None,
               fallback_roas: float = META_DEFAULT_FALLBACK_ROAS) -> DataFrame:
-    return meta_to_unified(read_export_csv(spark, path), estimated_aov, fallback_roas)
+    return _mapped(spark, path, meta_to_unified, estimated_aov=estimated_aov, fallback_roas=fallback_roas)
 
 
 def load_channels(spark: SparkSession, inputs: Mapping[str, object],
@@ -201,11 +260,11 @@ def load_channels(spark: SparkSession, inputs: Mapping[str, object],
             continue
         if channel not in MAPPERS:
             raise ValueError(f"unknown channel {channel!r}")
-        raw = src if isinstance(src, DataFrame) else read_export_csv(spark, src)
-        if channel == META_CHANNEL:
-            out[channel] = meta_to_unified(raw, **dict(meta_options or {}))
+        options = dict(meta_options or {}) if channel == META_CHANNEL else {}
+        if isinstance(src, DataFrame):
+            out[channel] = MAPPERS[channel](src, **options)
         else:
-            out[channel] = MAPPERS[channel](raw)
+            out[channel] = _mapped(spark, src, MAPPERS[channel], **options)
     return out
 
 

@@ -15,13 +15,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import exact
 from ..operators.kpis import grain_keys, keys_present
 from ..operators.unify import with_ratios
 from ..sources.schema import BING_FIELDS, GOOGLE_FIELDS, META_FIELDS
-from ..sources.vendors import MAPPERS, conform
+from ..sources.vendors import MAPPERS, conform, export_headers, text_schema
 
 EXPORT_FIELDS = {"Google": list(GOOGLE_FIELDS), "Bing": list(BING_FIELDS), "Meta": list(META_FIELDS)}
 WEEK = "7 days"
@@ -34,15 +33,19 @@ def export_stream(spark: SparkSession, channel: str, directory: str, fields: lis
 
     A file stream reads columns by position, so the header order is taken from
     ``fields`` or, when omitted, from the files already present (a header-only
-    read); the mapping then selects the vendor fields by name.
+    read); the mapping then selects the vendor fields by name. Files present
+    with different headers are refused, and a later file whose used columns
+    stand elsewhere fails the query instead of being read by position.
     """
     if fields is None:
-        fields = spark.read.option("header", True).option("inferSchema", False).csv(directory).columns
+        headers = list(export_headers(spark, directory))
+        if len(headers) > 1:
+            raise ValueError(f"{channel} export has {len(headers)} different headers; give each its own folder")
+        fields = list(headers[0])
     missing = set(EXPORT_FIELDS[channel]) - set(fields)
     if missing:
         raise ValueError(f"{channel} export lacks fields {sorted(missing)}")
-    schema = T.StructType([T.StructField(f, T.StringType(), True) for f in fields])
-    reader = spark.readStream.option("header", True).schema(schema)
+    reader = spark.readStream.option("header", True).option("enforceSchema", False).schema(text_schema(fields))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return conform(MAPPERS[channel](reader.csv(directory)))
