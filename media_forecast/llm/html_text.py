@@ -4,14 +4,18 @@
    line break ends a line. Text of elements that hold no article text
    (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
    styles, reader comments; by tag, role or the words of class and id) counts
-   zero and leaves an empty line, so that it opens a gap.
+   zero and leaves an empty line, so that it opens a gap. Lines of links only
+   count zero too, and so do ``WINDOW`` blank lines between two texts, counted
+   by element borders or by line ends of the page, whichever are more.
 2. The length of a line block is the sum of the text lengths over a window of
    ``WINDOW`` lines. A surge is a line with text whose block is long enough
    and not followed by a gap at once; a dive is the next gap. The text from
    the first line after the last gap before a surge up to its dive is kept.
-   Inside an article or main element every line with text is kept: there the
-   borders are the element's own, and short paragraphs belong to it.
-3. If no block is long enough, the run with most text is kept.
+   An article or main element is one more signal: inside it element borders
+   open no gap (its end does), and while a text inside has a surge, texts outside need a
+   block ``OUTSIDE`` times as long.
+3. If no block is long enough, the run with most text is kept, text inside
+   article or main counting ``OUTSIDE`` times. If there are links only, they are the text.
 
 White space inside a line becomes one space, lines are trimmed and joined by
 one line break; character references are decoded once, after the markup is
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,6 +36,7 @@ from media_forecast.shipping import ship_package
 
 WINDOW = 3  # lines in a block
 SURGE = 60  # characters of a block at a surge
+OUTSIDE = 4  # times as long a block beside an article with a surge
 
 # Element names of HTML.
 TOKEN = re.compile(
@@ -75,19 +81,62 @@ def is_aside(tag: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, bool]]:
-    """(text, inside article or main) of each line; masked text leaves an empty line."""
-    out: list[tuple[str, bool]] = []
+class Line(NamedTuple):
+    """A line of the page; a gap has no text."""
+
+    text: str
+    size: int  # characters that count for blocks: none if there are links only
+    inside: bool  # of article or main
+
+
+def lines(page: str) -> list[Line]:
+    """The lines with text and the gaps between them."""
+    out: list[Line] = []
     parts: list[str] = []
+    plain: list[str] = []  # the parts outside links
     open_tags: list[str] = []
     aside_at: int | None = None  # depth of the outermost masked element
-    main_depth = 0
+    main_depth = links = 0
+    borders = ends = 0  # element borders and line ends since the last text
+
+    def gap() -> None:
+        out.append(Line("", 0, main_depth > 0))
+
+    def add(chunk: str) -> None:
+        nonlocal borders, ends
+        if chunk.isspace():
+            ends += chunk.count("\n")
+        else:
+            before = chunk[: len(chunk) - len(chunk.lstrip())].count("\n")
+            if max(0 if main_depth else borders, ends + before) > WINDOW:
+                flush()
+                gap()
+            borders, ends = 0, chunk[len(chunk.rstrip()):].count("\n")
+        parts.append(chunk)
+        if not links:
+            plain.append(chunk)
 
     def flush() -> None:
         text = SPACES.sub(" ", html.unescape("".join(parts))).strip()
-        parts.clear()
         if text:
-            out.append((text, main_depth > 0))
+            only_links = len(plain) < len(parts) and not any(c.isalnum() for c in html.unescape("".join(plain)))
+            out.append(Line(text, 0 if only_links else len(text), main_depth > 0))
+        parts.clear()
+        plain.clear()
+
+    def close() -> str:
+        nonlocal aside_at, main_depth, links
+        last = open_tags.pop()
+        if last == "a href":
+            links -= 1
+            last = "a"
+        if last in MAIN and aside_at is None:
+            main_depth -= 1
+            gap()
+        if aside_at is not None and len(open_tags) <= aside_at:
+            aside_at = None
+            gap()
+        return last
 
     pos, size = 0, len(page)
     while pos < size:
@@ -95,13 +144,13 @@ def lines(page: str) -> list[tuple[str, bool]]:
         if at < 0:
             at = size
         if at > pos and aside_at is None:
-            parts.append(page[pos:at])
+            add(page[pos:at])
         if at == size:
             break
         m = TOKEN.match(page, at)
         if m is None:  # a bare sign
             if aside_at is None:
-                parts.append("<")
+                add("<")
             pos = at + 1
             continue
         pos = m.end()
@@ -110,18 +159,12 @@ def lines(page: str) -> list[tuple[str, bool]]:
         closing, tag, attributes = m.group(1), m.group(2).lower(), m.group(3)
         if tag not in INLINE and aside_at is None:
             flush()
+            borders += 1
         if closing:
-            if tag not in open_tags:
+            if tag not in open_tags and (tag != "a" or "a href" not in open_tags):
                 continue
-            while True:
-                last = open_tags.pop()
-                if last in MAIN and aside_at is None:
-                    main_depth -= 1
-                if aside_at is not None and len(open_tags) <= aside_at:
-                    aside_at = None
-                    out.append(("", main_depth > 0))
-                if last == tag:
-                    break
+            while close() != tag:
+                pass
             continue
         if tag in VOID or attributes.endswith("/"):
             continue
@@ -131,7 +174,11 @@ def lines(page: str) -> list[tuple[str, bool]]:
             continue
         if tag == "p" and open_tags and open_tags[-1] == "p":
             open_tags.pop()
-        open_tags.append(tag)
+        if tag == "a" and re.search(r"(?i)\bhref\b", attributes):
+            open_tags.append("a href")
+            links += 1
+        else:
+            open_tags.append(tag)
         if aside_at is None:
             if is_aside(tag, attributes, main_depth > 0):
                 flush()
@@ -143,25 +190,31 @@ def lines(page: str) -> list[tuple[str, bool]]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    """Text between the surges and dives of the line-block distribution."""
-    rows = lines(page or "")
-    if any(inside and text for text, inside in rows):
-        rows = [(text if inside else "", inside) for text, inside in rows]
-    sizes = [len(text) for text, _ in rows]
+def surges(rows: list[Line]) -> list[tuple[int, int]]:
+    """(first line, dive) of each run of lines that is kept."""
     runs, k = [], 0
     while k < len(rows):
-        if not sizes[k]:
+        if not rows[k].size:
             k += 1
             continue
         dive = k
-        while dive < len(rows) and sizes[dive]:
+        while dive < len(rows) and rows[dive].size and rows[dive].inside == rows[k].inside:
             dive += 1
-        blocks = [sum(sizes[j: min(j + WINDOW, dive)]) for j in range(k, dive)]
-        runs.append((k, dive, max(blocks) >= SURGE or rows[k][1], sum(sizes[k:dive])))
+        sizes = [r.size for r in rows[k:dive]]
+        runs.append((k, dive, max(sum(sizes[j: j + WINDOW]) for j in range(len(sizes))), sum(sizes), rows[k].inside))
         k = dive
-    kept = [r for r in runs if r[2]] or sorted(runs, key=lambda r: (-r[3], r[0]))[:1]
-    return "\n".join(rows[j][0] for first, dive, _, _ in kept for j in range(first, dive))
+    beside = any(inside and block >= SURGE for _, _, block, _, inside in runs)
+    kept = [r for r in runs if r[2] >= SURGE * (OUTSIDE if beside and not r[4] else 1)]
+    kept = kept or sorted(runs, key=lambda r: (-r[3] * (OUTSIDE if r[4] else 1), r[0]))[:1]
+    return [r[:2] for r in kept]
+
+
+def main_text(page: str | None) -> str:
+    """Text between the surges and dives of the line-block distribution."""
+    rows = lines(page or "")
+    if not any(r.size for r in rows):  # links only
+        rows = [r._replace(size=len(r.text)) for r in rows]
+    return "\n".join(rows[j].text for first, dive in surges(rows) for j in range(first, dive))
 
 
 def extract(pages: DataFrame) -> DataFrame:

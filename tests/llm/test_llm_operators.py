@@ -139,6 +139,22 @@ def test_page_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_page_text_follows_line_blocks():
+    long = "Sentences of the story go on and on. " * 8
+    story = f"<div><p>{long}</p><p>{long}</p></div>"
+    want = [long.strip()] * 2
+    teaser = "<article><a href=/x>Other story</a></article><article>Two words</article>"
+    links = "<ul><li><a href=/1>One link</a></li><li><a href=/2>" + "a long link text " * 9 + "</a></li></ul>"
+    note = "<div><div><div>We moved our office.</div></div></div>"
+    for page in (
+        teaser + story, story + teaser, links + story + links, f"<main>{links}{story}</main>", note + story + note,
+        f"<article>{story}</article><div>A remark beside the article that is longer than sixty characters.</div>",
+        "<p>Notice</p>\n\n\n\n" + story,
+    ):
+        assert html_text.main_text(page).split("\n") == want
+    assert html_text.main_text("<p><a href=/x>only link</a>") == "only link"
+
+
 def test_toxicity_index_is_exact():
     r = random.Random(4)
     vectors = [toxicity.weights({r.randrange(30): r.randint(1, 4) for _ in range(r.randint(1, 6))}, np.linspace(1, 3, 30)) for _ in range(700)]
