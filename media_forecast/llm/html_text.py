@@ -14,13 +14,17 @@
    An article or main element is one more signal: inside it element borders
    open no gap (its end does), and while a text inside has a surge, texts outside need a
    block ``OUTSIDE`` times as long.
+   Short texts and lines of links belong to the kept text if they lie between
+   kept runs (links only as an element of the same container), if their block
+   stands in the container of a kept line, or if they head a kept run.
 3. If no block is long enough, the run with most text is kept, text inside
    article or main counting ``OUTSIDE`` times. If there are links only, they are the text.
 
 White space inside a line becomes one space, lines are trimmed and joined by
 one line break; character references are decoded once, after the markup is
-gone. Null html counts as empty: empty text. Unclosed elements end with the
-page. Repeated rows give repeated rows, extra columns are ignored.
+gone. Null html counts as empty: empty text. Paragraphs, list items and cells
+end where the next begins, a paragraph also at any block; other unclosed
+elements end with their container or the page. Repeated rows give repeated rows, extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,6 +57,18 @@ INLINE = {
 }
 ASIDE = {"nav", "footer", "aside", "form", "head", "menu", "button", "select", "dialog", "fieldset", "datalist", "option"}
 MAIN = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+# Blocks of text; what holds them is the container.
+TEXT_BLOCKS = HEADINGS | {"p", "pre", "blockquote", "li", "dt", "dd", "td", "th", "tr", "caption", "figcaption", "summary", "center"}
+# Elements that end an open paragraph.
+PARAGRAPH_ENDS = HEADINGS | {
+    "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "dt", "dd", "fieldset", "figcaption", "figure",
+    "footer", "form", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "table", "ul",
+}
+# Elements that end an open one of these kinds in the same list or table.
+SIBLING_ENDS = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"},
+}
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "alert", "dialog", "alertdialog"}
 ASIDE_WORDS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion",
@@ -72,7 +88,11 @@ def is_aside(tag: str, attributes: str, in_main: bool) -> bool:
         return False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
-        if name in ("class", "id") and ASIDE_WORDS.intersection(re.split(r"[^a-z]+", value)):
+        words = set(re.split(r"[^a-z]+", value)) - {""}
+        # The id of a heading or section is often made of its title: a word of it says nothing.
+        if name == "id" and (tag in HEADINGS or tag == "section" and not words <= ASIDE_WORDS):
+            continue
+        if name in ("class", "id") and ASIDE_WORDS & words:
             return True
         if name == "role" and value in ASIDE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -87,6 +107,8 @@ class Line(NamedTuple):
     text: str
     size: int  # characters that count for blocks: none if there are links only
     inside: bool  # of article or main
+    container: int = 0  # number of the element that holds the line's block
+    block: str = ""  # name of the block, empty for text of the container itself
 
 
 def lines(page: str) -> list[Line]:
@@ -95,6 +117,8 @@ def lines(page: str) -> list[Line]:
     parts: list[str] = []
     plain: list[str] = []  # the parts outside links
     open_tags: list[str] = []
+    numbers: list[int] = []  # of the open elements
+    count = 0
     aside_at: int | None = None  # depth of the outermost masked element
     main_depth = links = 0
     borders = ends = 0  # element borders and line ends since the last text
@@ -120,13 +144,18 @@ def lines(page: str) -> list[Line]:
         text = SPACES.sub(" ", html.unescape("".join(parts))).strip()
         if text:
             only_links = len(plain) < len(parts) and not any(c.isalnum() for c in html.unescape("".join(plain)))
-            out.append(Line(text, 0 if only_links else len(text), main_depth > 0))
+            k, block = len(open_tags), ""
+            while k and (open_tags[k - 1] in INLINE or open_tags[k - 1] in TEXT_BLOCKS or open_tags[k - 1] == "a href"):
+                k -= 1
+                block = open_tags[k] if open_tags[k] in TEXT_BLOCKS else block
+            out.append(Line(text, 0 if only_links else len(text), main_depth > 0, numbers[k - 1] if k else 0, block))
         parts.clear()
         plain.clear()
 
     def close() -> str:
         nonlocal aside_at, main_depth, links
         last = open_tags.pop()
+        numbers.pop()
         if last == "a href":
             links -= 1
             last = "a"
@@ -138,6 +167,15 @@ def lines(page: str) -> list[Line]:
             gap()
         return last
 
+    def end_before(ended: set[str], across: set[str]) -> None:
+        """End the last open element of ``ended`` unless one that is not in ``across`` lies over it."""
+        k = len(open_tags)
+        while k and (open_tags[k - 1] in across or open_tags[k - 1] == "a href"):
+            k -= 1
+        if k and open_tags[k - 1] in ended:
+            while len(open_tags) >= k:
+                close()
+
     pos, size = 0, len(page)
     while pos < size:
         at = page.find("<", pos)
@@ -166,14 +204,19 @@ def lines(page: str) -> list[Line]:
             while close() != tag:
                 pass
             continue
+        if tag in PARAGRAPH_ENDS:
+            end_before({"p"}, INLINE)
         if tag in VOID or attributes.endswith("/"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, pos)
             pos = end.end() if end else size
             continue
-        if tag == "p" and open_tags and open_tags[-1] == "p":
-            open_tags.pop()
+        if tag in SIBLING_ENDS:
+            for _ in range(2 if tag == "tr" else 1):  # the cell, then its row
+                end_before(SIBLING_ENDS[tag], INLINE | {"p"})
+        count += 1
+        numbers.append(count)
         if tag == "a" and re.search(r"(?i)\bhref\b", attributes):
             open_tags.append("a href")
             links += 1
@@ -209,12 +252,33 @@ def surges(rows: list[Line]) -> list[tuple[int, int]]:
     return [r[:2] for r in kept]
 
 
+def belonging(rows: list[Line], runs: list[tuple[int, int]]) -> list[int]:
+    """The lines of the kept runs and the short ones that belong to them."""
+    kept = {j for first, dive in runs for j in range(first, dive)}
+    homes = {rows[j].container for j in kept}
+    first, last = min(kept, default=0), max(kept, default=-1)
+    for j, r in enumerate(rows):
+        home = r.container in homes
+        if r.text and (r.size and (home or first < j < last) or home and r.block):
+            kept.add(j)
+    heads = None  # next kept line, if only headings lie between
+    for j in range(len(rows) - 1, -1, -1):
+        if j in kept:
+            heads = j
+        elif rows[j].text:
+            if heads is not None and rows[j].block in HEADINGS:
+                kept.add(j)
+            else:
+                heads = None
+    return sorted(kept)
+
+
 def main_text(page: str | None) -> str:
     """Text between the surges and dives of the line-block distribution."""
     rows = lines(page or "")
     if not any(r.size for r in rows):  # links only
         rows = [r._replace(size=len(r.text)) for r in rows]
-    return "\n".join(rows[j].text for first, dive in surges(rows) for j in range(first, dive))
+    return "\n".join(rows[j].text for j in belonging(rows, surges(rows)))
 
 
 def extract(pages: DataFrame) -> DataFrame:

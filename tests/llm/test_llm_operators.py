@@ -155,6 +155,25 @@ def test_page_text_follows_line_blocks():
     assert html_text.main_text("<p><a href=/x>only link</a>") == "only link"
 
 
+def test_page_text_keeps_short_texts_of_the_article():
+    long = "Sentences of the story go on and on. " * 8
+    body = long.strip()
+    share, ad = "<div class=share>Share this with all of your friends</div>", "<div class=ad>Buy</div>"
+
+    def got(page):
+        return html_text.main_text(page).split("\n")
+
+    assert got(f"<body><h1>Title</h1>{share}<p>{long}</p>") == ["Title", body]
+    assert got(f"<article><p>{long}</p>{ad}<p>The end.</p></article>") == [body, "The end."]
+    assert got(f"<div><p>{long}</p></div>{ad}<div><p>Short.</p></div>{ad}<div><p>{long}</p></div>") == [body, "Short.", body]
+    assert got(f"<div><div><h1>Title</h1></div></div><div><div><p>{long}</div></div>") == ["Title", body]
+    assert got(f"<div><p class=notice>Closed on Monday<p>{long}<p>The end.</div>") == [body, "The end."]
+    assert got(f"<div><p class=notice>Closed <b>on Monday<div>{long}</div></div>") == [body]
+    assert got(f"<div><ul><li class=share>Share<li>{long}</ul></div>") == [body]
+    assert got(f"<div><h2 id=social-history>Social history</h2><p>{long}</p></div>") == ["Social history", body]
+    assert got(f"<section id=related-work><h2>Related work</h2><p>{long}</p></section><section id=comments>{long}</section>") == ["Related work", body]
+
+
 def test_toxicity_index_is_exact():
     r = random.Random(4)
     vectors = [toxicity.weights({r.randrange(30): r.randint(1, 4) for _ in range(r.randint(1, 6))}, np.linspace(1, 3, 30)) for _ in range(700)]
