@@ -2,9 +2,11 @@
 
 Every version of a document is addressed by the SHA-256 of its text. The
 ledger has one row per (blob, rule, rule version) scanned so far, the findings
-one row per span. A scan takes the distinct blobs of the given versions, drops
+one row per span; the caller stores both and hands both to the next run
+(``Store``). A scan takes the distinct blobs of the given versions, drops
 the pairs that the ledger already has, scans only the rest, and joins the
-findings back to every path that holds the blob. Equal texts are scanned once:
+stored findings of the current rule versions and the new ones back to every
+path that holds the blob. Equal texts are scanned once:
 the text shuffle is pre-aggregated per task, so a text that a third of all
 paths share costs one row per task.
 
@@ -20,6 +22,7 @@ their row. Extra columns are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,6 +129,33 @@ def scan_increment(
     return scan(todo, rules), pairs.select("blob", "kind", "version")
 
 
+class Store(NamedTuple):
+    """What earlier runs scanned and found; repeated rows count once."""
+
+    ledger: DataFrame
+    findings: DataFrame
+
+
+class Increment(NamedTuple):
+    """What a run adds to a store, and all findings of its documents' texts by the current rules."""
+
+    findings: DataFrame
+    ledger: DataFrame
+    current: DataFrame
+
+
+def increment(docs: DataFrame, store: Store | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> Increment:
+    """The rows to append to the stored tables, and the stored and new findings together."""
+    new, pairs = scan_increment(docs, store.ledger if store else None, rules, text)
+    if store is None:
+        return Increment(new, pairs, new)
+    columns = ["blob", "kind", "version", "start", "end"]
+    # Findings without their ledger row, as a broken run leaves them, are scanned again and would count twice.
+    versions_now = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+    old = store.findings.where(F.array_contains(versions_now, F.struct("kind", "version"))).select(*columns)
+    return Increment(new, pairs, old.unionByName(new.select(*columns)).distinct())
+
+
 def findings_by_blob(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, spans): the spans of each blob by start, then rule order."""
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
@@ -134,10 +164,12 @@ def findings_by_blob(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> Da
     )
 
 
-def digests(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Per document: counts of the base kinds, a digest of their spans, and all spans."""
-    findings, _ = scan_increment(docs, ledger, rules)
-    rows = versions(docs).join(findings_by_blob(findings, rules), "blob", "left")
+def digests(docs: DataFrame, store: Store | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Per document: counts of the base kinds, a digest of their spans, and all spans, of stored and new findings.
+
+    What to append to the store is given by :func:`increment` of the same arguments.
+    """
+    rows = versions(docs).join(findings_by_blob(increment(docs, store, rules).current, rules), "blob", "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<start:int,rule:int,end:int,kind:string>>"))
     base = [r.kind for r in rules if r.base]
 
@@ -154,10 +186,9 @@ def digests(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
     )
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]", store: Store | None = None) -> DataFrame:
     """``docs`` with every found span replaced by ``mark`` (overlapping spans by one); n_chars follows; other columns stay."""
-    findings, _ = scan_increment(docs, None, rules)
-    by_blob = findings_by_blob(findings, rules).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    by_blob = findings_by_blob(increment(docs, store, rules).current, rules).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
     text = F.coalesce("text", F.lit(""))
     # Kept stretches: from the furthest end so far to the next start.
     state = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))

@@ -265,6 +265,34 @@ def test_ledger_scans_only_what_is_new(spark):
     assert [r.kind for r in again.collect()] == ["access"] and {r.version for r in rest.collect()} == {2}
 
 
+def test_second_run_with_a_store_equals_a_full_scan(spark):
+    schema = "doc_id long, text string"
+    first = spark.createDataFrame([(1, "token=abcdefgh"), (2, "AKIA" * 5 + " token=abcdefgh"), (3, "none")], schema)
+    second = first.unionByName(spark.createDataFrame([(4, "token=abcdefgh"), (5, "secret: 12345678x"), (6, None)], schema))
+    newer = tuple(secrets.Rule("access", "AKIA[A-Z0-9]{4}", 0, 8, "AKIA", version=2) if r.kind == "access" else r for r in secrets.RULES)
+
+    def stored(*parts):
+        ledger, found = ([r for p in parts for r in df(p).collect()] for df in (lambda p: p.ledger, lambda p: p.findings))
+        return secrets.Store(spark.createDataFrame(ledger, secrets.LEDGER_SCHEMA), spark.createDataFrame(found, secrets.FINDING_SCHEMA))
+
+    def rows(df):
+        return sorted(map(tuple, df.collect()), key=str)
+
+    one = secrets.increment(first)
+    store = stored(one)
+    for rules in (secrets.RULES, newer):
+        assert rows(secrets.digests(second, store, rules)) == rows(secrets.digests(second, None, rules))
+        assert rows(secrets.redact(second, rules, store=store)) == rows(secrets.redact(second, rules))
+    two = secrets.increment(second, store)
+    assert two.findings.count() == 1  # only the new text of document 5
+    both = stored(one, two)
+    assert secrets.increment(second, both).ledger.count() == 0
+    assert rows(secrets.digests(second, both)) == rows(secrets.digests(second))
+    # Findings whose ledger rows were not stored are found again and count once.
+    half = secrets.Store(store.ledger.limit(0), store.findings)
+    assert rows(secrets.digests(second, half)) == rows(secrets.digests(second))
+
+
 def test_graph_search_recall(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet")
     got = graph_search.search(rows, rows.where("vec_id % 50 = 0"), shard=150, beam=64)
