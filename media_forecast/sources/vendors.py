@@ -9,6 +9,7 @@ prunes the scan to the fields used and pushes filters below it.
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -170,25 +171,40 @@ MAPPERS = {
 }
 
 
+BLANK = "".join(map(chr, range(33)))  # what Spark trims
+WILDCARDS = re.compile(r"[*?\[\]{}\\]")
+
+
 def _header(spark: SparkSession, uri: str) -> tuple[str, tuple[str, ...]]:
-    """(path, header) of one CSV file; an empty file has no header."""
+    """(path, header) of one CSV file; leading blank lines are skipped as Spark does, a file of blank lines has no header."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
     stream = path.getFileSystem(conf).open(path)
     try:
         codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
         source = codec.createInputStream(stream) if codec is not None else stream
-        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, "UTF-8")).readLine()
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, "UTF-8"))
+        line = (reader.readLine() or "").removeprefix("\ufeff")
+        while line is not None and not line.strip(BLANK):
+            line = reader.readLine()
     finally:
         stream.close()
-    return path.toString(), tuple(next(csv.reader([line.removeprefix("\ufeff")]), ())) if line else ()
+    return path.toString(), tuple(next(csv.reader([line]), ())) if line else ()
+
+
+def _partition_base(spark: SparkSession, path: str) -> str:
+    """The folder below which ``name=value`` folders are columns: before the first wildcard, or a file's own."""
+    fixed = re.split(r"(?:^|/)[^/]*[*?\[{]", path)[0] or ("/" if path.startswith("/") else ".")
+    p = spark._jvm.org.apache.hadoop.fs.Path(fixed)
+    status = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+    return (p.getParent() if status.isFile() else p).toString()
 
 
 def export_headers(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
     """The files of an export by their header, for files, directories and globs.
 
-    Only the first line of each file is read, as a Parquet reader reads
-    footers; no rows reach the driver. Empty files are left out.
+    Only the first line with content of each file is read, as a Parquet reader
+    reads footers; no rows reach the driver. Files without content are left out.
     """
     uris = sorted(spark.read.text(path).inputFiles())
     groups: dict[tuple[str, ...], list[str]] = {}
@@ -211,12 +227,18 @@ def read_exports(spark: SparkSession, path: str | list[str]) -> list[DataFrame]:
     Every field is text so ids keep their digits and missing tokens are mapped
     by the mapping step. Files may differ in column order and extra columns;
     each is read by its own header, which Spark compares again while reading.
+    The files listed are read, whatever the number of headers; ``name=value``
+    folders below a path are columns.
     """
     groups = export_headers(spark, path)
     reader = spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
+    if any("=" in file for files in groups.values() for file in files):
+        based = [(_partition_base(spark, p), export_headers(spark, p)) for p in ([path] if isinstance(path, str) else path)]
+    else:
+        based = [(None, groups)]
     return [
-        reader.schema(text_schema(header)).csv(path if len(groups) == 1 else files)
-        for header, files in groups.items()
+        (reader.option("basePath", base) if base else reader).schema(text_schema(header)).csv([WILDCARDS.sub(r"\\\g<0>", f) for f in files])
+        for base, found in based for header, files in found.items()
     ]
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.errors import StreamingQueryException
 
-from media_forecast.sources.vendors import load_channels, load_google, load_meta
+from media_forecast.sources.vendors import load_channels, load_google, load_meta, read_export_csv
 from media_forecast.streaming.ingest import export_stream
 
 GOOGLE = ("segments_date,metrics_clicks,metrics_conversions,metrics_cost_micros,metrics_impressions,"
@@ -65,3 +65,26 @@ def test_unreadable_values_fail(spark, tmp_path, line, what):
     _file(tmp_path / "g", "a.csv", GOOGLE, line)
     with pytest.raises(Exception, match=what):
         load_google(spark, str(tmp_path / "g")).collect()
+
+
+@pytest.mark.parametrize("second", [GOOGLE, SWAPPED])
+def test_files_with_leading_blank_lines_keep_their_rows(spark, tmp_path, second):
+    d = tmp_path / "g"
+    _file(d, "a [1].csv", "\n \t\n" + GOOGLE, "2024-01-01,1,1,7,10,7,SEARCH,5,c1,n")
+    _file(d, "b{x}.csv", second, "2024-01-02,1,1,7,10,7,SEARCH,5,c2,n")
+    _file(d, "c.csv", "\ufeff\n" + GOOGLE, "2024-01-03,1,1,7,10,7,SEARCH,5,c3,n")
+    (d / "blank.csv").write_text("\n \n")
+    rows = load_google(spark, str(d)).orderBy("date").collect()
+    assert [(r.campaign_id, r.revenue) for r in rows] == [("c1", 7.0), ("c2", 7.0), ("c3", 7.0)]
+
+
+@pytest.mark.parametrize("second", [GOOGLE, SWAPPED])
+def test_partition_folders_do_not_depend_on_headers(spark, tmp_path, second):
+    for k, header in enumerate((GOOGLE, second)):
+        (tmp_path / "g").mkdir(exist_ok=True)
+        _file(tmp_path / "g" / f"part={k}", "a.csv", header, "2024-01-02,1,1,7,10,7,SEARCH,5,c2,n")
+    for path in (str(tmp_path / "g"), str(tmp_path / "g" / "part=*"), [str(tmp_path / "g" / f"part={k}" / "a.csv") for k in (0, 1)]):
+        frame = read_export_csv(spark, path)
+        assert frame.count() == 2
+        if isinstance(path, str):
+            assert sorted(str(r.part) for r in frame.collect()) == ["0", "1"]
