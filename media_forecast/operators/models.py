@@ -3,8 +3,9 @@
 For every series (any key set) on its weekly rows:
 
 * spend response: least-squares ``revenue = a + b * spend`` from exact moment
-  sums, with the residual spread ``sigma``; a series whose spend does not vary
-  falls back to its mean revenue (slope 0);
+  sums, with the residual spread ``sigma``; a series whose spend is the same
+  in every week falls back to its mean revenue (slope 0). Where plain moments
+  would cancel, moments from the smallest spend and revenue are used;
 * ratio bands: P10 / P50 / P90 of ``revenue / fitted`` over weeks with a
   positive fit (linear interpolation between order statistics).
 
@@ -29,7 +30,7 @@ from .features import horizon_columns, weekly_spend
 INTERVAL_WIDTH = 0.75  # fixed value: width of the trend-model interval
 Z_INTERVAL = NormalDist().inv_cdf(0.5 + INTERVAL_WIDTH / 2)
 QUANTILES = (0.10, 0.50, 0.90)  # fixed values: quantile levels
-FLAT_TOLERANCE = 1e-9  # relative variance below which spend counts as constant
+FLAT_TOLERANCE = 1e-9  # relative variance below which plain moments cancel
 
 
 def _moment(expr: Column, w) -> Column:
@@ -41,19 +42,33 @@ def spend_response_moments(weekly_df: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys)
     # Narrower than MONEY so that products stay exact in 38 digits.
     x, y = F.col("spend").cast("decimal(18,6)"), F.col("revenue").cast("decimal(18,6)")
-    df = weekly_df.select(
+    # Differences from the smallest value are exact, so spend that varies little keeps all its digits.
+    dx = (F.col("x") - F.min("x").over(w)).cast("decimal(18,6)")
+    dy = (F.col("y") - F.min("y").over(w)).cast("decimal(18,6)")
+    rows = weekly_df.select(*keys, "week", "spend", "revenue", x.alias("x"), y.alias("y"))
+    rows = rows.select("*", dx.alias("dx"), dy.alias("dy"))
+    x, y, dx, dy = F.col("x"), F.col("y"), F.col("dx"), F.col("dy")
+    df = rows.select(
         *keys, "week", "spend", "revenue",
         F.count(F.lit(1)).over(w).alias("n_weeks"),
         _moment(x, w).alias("sx"), _moment(y, w).alias("sy"),
         _moment(x * x, w).alias("sxx"), _moment(x * y, w).alias("sxy"), _moment(y * y, w).alias("syy"),
+        _moment(dx, w).alias("cx"), _moment(dy, w).alias("cy"),
+        _moment(dx * dx, w).alias("cxx"), _moment(dx * dy, w).alias("cxy"), _moment(dy * dy, w).alias("cyy"),
     )
     n = F.col("n_weeks").cast("double")
     den = n * F.col("sxx") - F.col("sx") * F.col("sx")
-    varies = (F.col("n_weeks") >= 2) & (den > F.lit(FLAT_TOLERANCE) * n * F.col("sxx"))
-    slope = F.when(varies, (n * F.col("sxy") - F.col("sx") * F.col("sy")) / den).otherwise(F.lit(0.0))
+    plain = den > F.lit(FLAT_TOLERANCE) * n * F.col("sxx")
+    vxx = n * F.col("cxx") - F.col("cx") * F.col("cx")
+    vxy = n * F.col("cxy") - F.col("cx") * F.col("cy")
+    vyy = n * F.col("cyy") - F.col("cy") * F.col("cy")
+    varies = F.col("cxx") > 0  # some week's spend is above the smallest
+    slope = F.when(varies & plain, (n * F.col("sxy") - F.col("sx") * F.col("sy")) / den)
+    slope = slope.when(varies, vxy / vxx).otherwise(F.lit(0.0))
     df = df.withColumn("slope", slope)
     df = df.withColumn("intercept", (F.col("sy") - F.col("slope") * F.col("sx")) / n)
     sse = F.col("syy") - F.col("intercept") * F.col("sy") - F.col("slope") * F.col("sxy")
+    sse = F.when(plain & (sse > F.lit(FLAT_TOLERANCE) * F.col("syy")), sse).otherwise((vyy - F.col("slope") * vxy) / n)
     sigma = F.when(F.col("n_weeks") > 2, F.sqrt(F.greatest(sse, F.lit(0.0)) / (n - F.lit(2.0)))).otherwise(F.lit(0.0))
     df = df.withColumn("sigma", sigma)
     fitted = F.col("intercept") + F.col("slope") * F.col("spend")

@@ -185,6 +185,16 @@ def test_fit_recovers_line_and_scores(spark):
     assert fc.revenue_low <= fc.revenue_median <= fc.revenue_high
 
 
+def test_fit_of_spend_that_varies_little(spark):
+    start = dt.date(2024, 1, 1)
+    rows = [("a", start + dt.timedelta(weeks=i), 1e6 + i, 3e9 + 2 * (1e6 + i) + (0.01 if i % 2 else -0.01)) for i in range(60)]
+    rows += [("b", start + dt.timedelta(weeks=i), 1e6, 5.0 + i % 2) for i in range(60)]
+    w = spark.createDataFrame(rows, "channel string, week date, spend double, revenue double")
+    fit = {r.channel: r for r in models.fit_spend_response(w, ["channel"]).collect()}
+    assert fit["a"].slope == pytest.approx(2.0, abs=1e-4) and fit["a"].sigma == pytest.approx(0.01, rel=0.05)
+    assert fit["b"].slope == 0.0 and fit["b"].intercept == pytest.approx(5.5) and fit["b"].sigma == pytest.approx((15 / 58) ** 0.5)
+
+
 def test_scenario_zero_rows_and_blend(spark):
     w = _weekly_series(spark, 3).unionByName(_weekly_series(spark, 10, channel="Bing"))
     fit = models.fit_spend_response(w, ["channel"])
