@@ -17,20 +17,20 @@ last week depends on each window's start.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import exact_sum, out_round, week_start
 from ..session import cut_lineage
 from . import models, scenarios
-from .kpis import keys_present
+from .kpis import dated
 
 DEFAULT_HORIZON = 30
 DEFAULT_WINDOWS = 3
 
 
-def series_daily(df: DataFrame, keys: list[str]) -> DataFrame:
-    return (df.filter(keys_present(keys) & F.col("date").isNotNull())
+def series_daily(df: DataFrame, keys: list[str], undated: Observation | None = None) -> DataFrame:
+    return (dated(df, keys, undated)
             .groupBy(*keys, "date").agg(exact_sum("spend").alias("spend"), exact_sum("revenue").alias("revenue")))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import exact_sum, exact_sum_nullable, out_round, safe_ratio, week_start
@@ -39,6 +39,22 @@ def keys_present(keys: list[str]) -> Column:
     return cond
 
 
+def undated_counts() -> list[Column]:
+    """Rows without a date and their money, for ``observe``."""
+    no_date = F.col("date").isNull()
+    return [F.count_if(no_date).alias("rows"), *[
+        exact_sum(F.when(no_date, F.col(c))).alias(c) for c in ("spend", "revenue")]]
+
+
+def dated(df: DataFrame, keys: list[str], undated: Observation | None = None) -> DataFrame:
+    """Rows of the series ``keys``. One without a date fails, or is counted by ``undated`` and left out."""
+    rows = df.filter(keys_present(keys))
+    if undated is not None:
+        return rows.observe(undated, *undated_counts()).filter(F.col("date").isNotNull())
+    fault = F.raise_error(F.lit("row without a date; hand in an Observation to count such rows and leave them out"))
+    return rows.withColumn("date", F.coalesce("date", fault.cast("date")))
+
+
 def max_date(df: DataFrame) -> Column:
     """Latest date over all channels, as a scalar subquery."""
     return df.agg(F.max("date")).scalar()
@@ -55,10 +71,10 @@ def lookback(df: DataFrame, days: int = DEFAULT_LOOKBACK_DAYS, as_of: dt.date |
     return df.filter(F.col("date") >= F.date_sub(max_date(df), days))
 
 
-def weekly(df: DataFrame, grain="channel") -> DataFrame:
-    """Daily rows → weekly (Monday) sums per series + weekly ROAS."""
+def weekly(df: DataFrame, grain="channel", undated: Observation | None = None) -> DataFrame:
+    """Daily rows → weekly (Monday) sums per series + weekly ROAS; undated rows as in :func:`dated`."""
     keys = grain_keys(grain)
-    rows = df.filter(keys_present(keys) & F.col("date").isNotNull())
+    rows = dated(df, keys, undated)
     out = rows.groupBy(*keys, week_start("date").alias("week")).agg(
         exact_sum("spend").alias("spend"),
         exact_sum("revenue").alias("revenue"),

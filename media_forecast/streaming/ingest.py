@@ -5,6 +5,11 @@ projection as the batch readers and rolled up into weekly sums per series.
 The weekly window is a 7-day tumbling event-time window aligned to Mondays
 (epoch day 0 is a Thursday, so the windows start 4 days later); a watermark
 bounds state, so a week is final and emitted once no file can still add to it.
+Each channel has a watermark of its own and the slowest one counts, so a
+channel may lag the others by any time; it moves only in runs in which every
+channel has new rows, until then weeks wait.
+Rows without a date and rows that come too late are left out and counted
+(:func:`ingest_report`).
 State and progress live in the checkpoint folder, so a restarted or
 relocated job resumes where it stopped.
 """
@@ -14,10 +19,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import functions as F
 
 from ..functions import exact
-from ..operators.kpis import grain_keys, keys_present
+from ..operators.kpis import grain_keys, keys_present, undated_counts
 from ..operators.unify import with_ratios
 from ..sources.schema import BING_FIELDS, GOOGLE_FIELDS, META_FIELDS
 from ..sources.vendors import MAPPERS, conform, export_headers, text_schema
@@ -51,8 +57,15 @@ def export_stream(spark: SparkSession, channel: str, directory: str, fields: lis
     return conform(MAPPERS[channel](reader.csv(directory)))
 
 
-def unified_stream(spark: SparkSession, directories: Mapping[str, str]) -> DataFrame:
-    frames = [export_stream(spark, ch, d) for ch, d in directories.items() if d]
+def _watermarked(stream: DataFrame, watermark: str, name: str) -> DataFrame:
+    counted = stream.observe(name, *undated_counts()).filter(F.col("date").isNotNull())
+    return counted.withColumn("event_ts", F.col("date").cast("timestamp")).withWatermark("event_ts", watermark)
+
+
+def unified_stream(spark: SparkSession, directories: Mapping[str, str], watermark: str | None = None) -> DataFrame:
+    """Rows of all channels; with ``watermark`` each has its own and undated rows are counted and left out."""
+    frames = [export_stream(spark, ch, d) if watermark is None else
+              _watermarked(export_stream(spark, ch, d), watermark, f"undated_{ch}") for ch, d in directories.items() if d]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -60,11 +73,10 @@ def unified_stream(spark: SparkSession, directories: Mapping[str, str]) -> DataF
 
 
 def weekly_stream(stream: DataFrame, grain="channel", watermark: str = "14 days") -> DataFrame:
-    """Weekly (Monday) exact sums per series over an event-time watermark."""
+    """Weekly (Monday) exact sums per series over an event-time watermark (the stream's own where it has ``event_ts``)."""
     keys = grain_keys(grain)
-    ts = F.col("date").cast("timestamp")
-    rows = stream.filter(keys_present(keys) & F.col("date").isNotNull()).withColumn("event_ts", ts)
-    g = rows.withWatermark("event_ts", watermark).groupBy(
+    rows = stream if "event_ts" in stream.columns else _watermarked(stream, watermark, "undated")
+    g = rows.filter(keys_present(keys)).groupBy(
         *keys, F.window("event_ts", WEEK, WEEK, MONDAY_OFFSET).alias("w")).agg(
         F.sum(exact("spend")).alias("spend_d"), F.sum(exact("revenue")).alias("revenue_d"),
         F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"),
@@ -83,8 +95,27 @@ def run_weekly(spark: SparkSession, directories: Mapping[str, str], output: str,
                grain="channel", watermark: str = "14 days", available_now: bool = True):
     """Start the weekly roll-up into a Parquet folder (append mode: a week is
     written once the watermark passes it). Returns the StreamingQuery."""
-    weekly = weekly_stream(unified_stream(spark, directories), grain, watermark)
+    weekly = weekly_stream(unified_stream(spark, directories, watermark), grain)
     writer = (weekly.writeStream.format("parquet").option("path", output)
               .option("checkpointLocation", checkpoint).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
+
+
+def ingest_report(query: StreamingQuery) -> dict:
+    """What a query left out in its recent batches (``spark.sql.streaming.numRecentProgressUpdates``).
+
+    ``undated``: rows without a date with their spend and revenue, by channel.
+    ``late``: partial sums (a series' rows of one week in one task) behind the
+    watermark; not zero if any row came too late.
+    """
+    undated: dict[str, dict] = {}
+    late = 0
+    for p in query.recentProgress:
+        late += sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        for name, row in p.observedMetrics.items():
+            if name.startswith("undated"):
+                total = undated.setdefault(name.removeprefix("undated_"), {"rows": 0, "spend": 0.0, "revenue": 0.0})
+                for c in total:
+                    total[c] += row[c] or 0
+    return {"late": late, "undated": undated}
