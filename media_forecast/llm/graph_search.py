@@ -156,20 +156,23 @@ def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def classes(rows: DataFrame, k: int) -> DataFrame:
-    """(embedding, members): distinct vectors, each with its k + 1 smallest ids."""
-    first = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    """(embedding, members): distinct vectors, each with its k + 1 smallest distinct ids."""
+    first = F.dense_rank().over(Window.partitionBy("embedding").orderBy("vec_id"))
     few = rows.select("vec_id", "embedding").withColumn("nth", first).where(F.col("nth") <= k + 1)
-    return few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("members"))
+    return few.groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("members"))
 
 
 def search(
     rows: DataFrame, queries: DataFrame, k: int = NEAREST, shard: int = SHARD, beam: int = BEAM, degree: int = DEGREE
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each query among all rows but its own id."""
+    """(query_id, rank, vec_id, score): the k nearest found of each query among all rows but its own id.
+
+    Repeated rows and repeated queries count once; queries of one id with different vectors are ranked each by itself.
+    """
     ship_package(rows.sparkSession)
     rows, queries = usable(rows), usable(queries)
     base = stored(classes(rows, k), "vectors")
-    asked = queries.select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = queries.select(F.col("vec_id").alias("query_id"), "embedding").distinct().withColumn("vector", F.xxhash64("embedding"))
     n, nq = base.count(), asked.count()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-nq // QUERY_BLOCK))
     # A shard holds vectors of one dimension.
@@ -192,7 +195,7 @@ def search(
     homes = graph.select(F.col("shard").alias("home")).distinct()
     to = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("long")).withColumn("dim", F.size("embedding").cast("string"))
     # The stated query set against all shards, in blocks.
-    sent = to.join(homes.withColumn("dim", F.substring_index("home", "-", 1)), "dim").select("home", "block", "query_id", "embedding")
+    sent = to.join(homes.withColumn("dim", F.substring_index("home", "-", 1)), "dim").select("home", "block", "query_id", "embedding", "vector")
     copies = graph.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def ask(index: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
@@ -208,15 +211,16 @@ def search(
             start = int(np.argmax(index["is_start"].to_numpy()))
             for lo in range(0, len(y), 128):
                 ids, _ = beam_search(x, edges, start, y[lo: lo + 128], max(beam, k + 1))
-                for row, query, own in zip(ids, y[lo: lo + 128], q["query_id"].iloc[lo: lo + 128], strict=True):
+                part = q.iloc[lo: lo + 128]
+                for row, query, own, vector in zip(ids, y[lo: lo + 128], part["query_id"], part["vector"], strict=True):
                     row = row[row >= 0]
                     score = np.sqrt(((x[row] - query) ** 2).sum(1))
                     hits = sorted((s, m) for s, i in zip(score, row, strict=True) for m in members[i] if m != own)
-                    out += [(own, m, s) for s, m in hits[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                    out += [(own, vector, m, s) for s, m in hits[:k]]
+        return pd.DataFrame(out, columns=["query_id", "vector", "vec_id", "score"])
 
     hits = copies.groupBy("shard", "block").cogroup(sent.groupBy("home", "block")).applyInPandas(
-        ask, "query_id long, vec_id long, score double"
+        ask, "query_id long, vector long, vec_id long, score double"
     )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "vector").orderBy("score", "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

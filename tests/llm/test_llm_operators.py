@@ -293,6 +293,14 @@ def test_second_run_with_a_store_equals_a_full_scan(spark):
     assert rows(secrets.digests(second, half)) == rows(secrets.digests(second))
 
 
+def test_graph_search_of_repeated_rows(spark):
+    schema = "vec_id long, embedding array<float>"
+    rows = spark.createDataFrame([(0, [1.0, 0.0])] * 5 + [(i, [1.0, 0.0]) for i in range(1, 4)] + [(i, [0.0, float(i)]) for i in range(4, 9)], schema)
+    queries = spark.createDataFrame([(0, [1.0, 0.0])] * 2 + [(0, [0.0, 4.0])], schema)
+    got = [(r["rank"], r.vec_id) for r in graph_search.search(rows, queries, k=3).collect()]
+    assert sorted(got) == sorted([(1, 1), (2, 2), (3, 3)] + [(1, 4), (2, 5), (3, 6)])
+
+
 def test_graph_search_recall(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet")
     got = graph_search.search(rows, rows.where("vec_id % 50 = 0"), shard=150, beam=64)
