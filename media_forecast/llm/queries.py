@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from media_forecast.llm import (
-    bpe, decontamination, fingerprints, graph_search, html_text, packing, secrets, shingle_join, suffix_dedup, token_counts, toxicity,
+    bpe, decontamination, fingerprints, graph_search, html_text, packing, secrets, shingle_join, suffix_dedup, token_counts, toxicity, vector_codes,
 )
 from media_forecast.llm.common import table
 
@@ -49,12 +49,16 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def op13_decontamination(spark, sf_dir):
     return decontamination.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_html_text, op3_bpe_codec, op4_fingerprints, op5_secret_ledger, op6_graph_search, op7_shingle_join, op8_token_counts, op9_best_fit_packing, op10_suffix_dedup,
-    op13_decontamination,
+    op12_vector_codes, op13_decontamination,
 )}
-ORACLE: dict[str, str] = {"op13_decontamination": decontamination.SQL}
+ORACLE: dict[str, str] = {"op12_vector_codes": vector_codes.sql(), "op13_decontamination": decontamination.SQL}
