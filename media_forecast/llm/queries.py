@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from media_forecast.llm import (
-    bpe, decontamination, fingerprints, graph_search, html_text, packing, secrets, shingle_join, suffix_dedup, token_counts, toxicity, vector_codes,
+    bpe, conversations, decontamination, fingerprints, graph_search, html_text, packing, secrets, shingle_join, suffix_dedup, token_counts, toxicity, vector_codes,
 )
 from media_forecast.llm.common import table
 
@@ -49,6 +49,10 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    return conversations.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 def op12_vector_codes(spark, sf_dir):
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -59,6 +63,6 @@ def op13_decontamination(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_html_text, op3_bpe_codec, op4_fingerprints, op5_secret_ledger, op6_graph_search, op7_shingle_join, op8_token_counts, op9_best_fit_packing, op10_suffix_dedup,
-    op12_vector_codes, op13_decontamination,
+    op11_conversation_repair, op12_vector_codes, op13_decontamination,
 )}
 ORACLE: dict[str, str] = {"op12_vector_codes": vector_codes.sql(), "op13_decontamination": decontamination.SQL}
