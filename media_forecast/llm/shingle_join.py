@@ -40,17 +40,19 @@ from media_forecast.shipping import ship_package
 WORDS = 5
 LEAST = 80  # percent
 FLUSH = 1_500_000  # shingles that a task holds before it sends them to the fragments
+SENT = 100_000  # shingles in one batch of rows for the fragments
+KNOWN, KNOWN_LENGTH = 40_000, 32  # words whose hashes a worker remembers, and their bytes at most: a few MB
 PARTS = 8  # fragments in verification
 _SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
 class WordHashes(dict):
-    """64-bit hash of each word; forgets all when it has grown too large."""
+    """64-bit hash of each word; remembers the first short ones, among them the usual words of the texts."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        got = xxhash.xxh3_64_intdigest(word)
+        if len(self) < KNOWN and len(word) <= KNOWN_LENGTH:
+            self[word] = got
         return got
 
 
@@ -94,19 +96,24 @@ def fragments(docs: DataFrame, buckets: int, words: int = WORDS) -> DataFrame:
         known, sets, keys, held = WordHashes(), [], {}, 0
 
         def flush():
-            h = np.concatenate(sets)
             owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
-            bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            h, names = np.concatenate(sets), np.array(list(keys), np.int64)
+            sets.clear()
+            keys.clear()
+            bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable").astype(np.int32)
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            h, owner, names = h[order], owner[order], np.array(list(keys), np.int64)
-            rows = []
+            rows, size = [], 0
             for k in range(buckets):
-                lo, hi = cuts[k], cuts[k + 1]
-                if lo < hi:
-                    own, local = np.unique(owner[lo:hi], return_inverse=True)
-                    rows.append((k, h[lo:hi].tobytes(), local.astype("<i4").tobytes(), names[own].tobytes()))
-            return pd.DataFrame(rows, columns=["bucket", "h", "owner", "keys"])
+                at = order[cuts[k]: cuts[k + 1]]
+                if len(at):
+                    own, local = np.unique(owner[at], return_inverse=True)
+                    rows.append((k, h[at].tobytes(), local.astype("<i4").tobytes(), names[own].tobytes()))
+                    size += len(at)
+                # Sent in small batches: copies on the way to the JVM stay small.
+                if rows and (size >= SENT or k == buckets - 1):
+                    yield pd.DataFrame(rows, columns=["bucket", "h", "owner", "keys"])
+                    rows, size = [], 0
 
         for b in batches:
             for t in b["text"]:
@@ -116,10 +123,10 @@ def fragments(docs: DataFrame, buckets: int, words: int = WORDS) -> DataFrame:
                     sets.append(s)
                     held += len(s)
                     if held >= FLUSH:
-                        yield flush()
-                        sets, keys, held = [], {}, 0
+                        yield from flush()
+                        held = 0
         if sets:
-            yield flush()
+            yield from flush()
 
     return docs.select("text").mapInPandas(run, "bucket int, h binary, owner binary, keys binary")
 

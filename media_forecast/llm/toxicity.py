@@ -47,6 +47,7 @@ MIN_G2, MIN_LIFT = 30.0, 6.0
 BLOCK, NEAREST = 64, 15
 PRIOR_WEIGHT = 0.5
 HELD_OUT_OF = 5
+KNOWN_WORDS, KNOWN_COUNTS = 40_000, 5_000  # words, and scored sets of terms, that a worker remembers
 
 
 def terms_of(word: str) -> list[str]:
@@ -127,9 +128,8 @@ class Terms:
             hit = known.get(w)
             if hit is None:
                 hit = tuple(self.at[t] for t in terms_of(w) if t in self.at)
-                if len(known) > 300_000:
-                    known.clear()
-                known[w] = hit
+                if len(known) < KNOWN_WORDS and len(w) <= 32:
+                    known[w] = hit
             for i in hit:
                 got[i] = got.get(i, 0) + c
         return got
@@ -251,7 +251,7 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
                 counts = find.counts(t)
                 key = tuple(sorted(counts.items()))
                 if key not in memo:
-                    if len(memo) > 100_000:
+                    if len(memo) >= KNOWN_COUNTS:
                         memo.clear()
                     memo[key] = model.score(counts)
                 got.append(memo[key])
