@@ -20,7 +20,6 @@ repeated rows, extra columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import re
@@ -34,10 +33,12 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
+from media_forecast.llm.common import kept_by_worker
 from media_forecast.shipping import ship_package
 
 VOCAB = "word_bpe_49k.json"
 CACHE_WORDS = 600_000  # words remembered by a worker; memory bound only
+CACHE_PIECES, CACHED_LENGTH = 200_000, 64  # their lower-case pieces, and the signs of a word or piece that is remembered
 # The split pattern and the white space of the vocabulary file.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -66,9 +67,10 @@ class Remembered(dict):
 
     def __missing__(self, key):
         got = self.make(key)
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = got
+        if len(key) <= CACHED_LENGTH:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = got
         return got
 
 
@@ -122,7 +124,7 @@ class Vocabulary:
                     break
         self.words: dict[str, tuple] = {}
         self.pieces: dict[str, list[int]] = {}
-        self.raw_pieces = Remembered(self._raw_piece)
+        self.raw_pieces = Remembered(self._raw_piece, CACHE_PIECES)
         self.raw_words = Remembered(self._raw_word)
 
     def compatible(self, x: int, y: int) -> bool:
@@ -249,17 +251,19 @@ class Vocabulary:
             got = self.pieces.get(piece)
             if got is None:
                 got = self._encode_piece(piece)
-                if len(self.pieces) >= CACHE_WORDS:
-                    self.pieces.clear()
-                self.pieces[piece] = got
+                if len(piece) <= CACHED_LENGTH:
+                    if len(self.pieces) >= CACHE_PIECES:
+                        self.pieces.clear()
+                    self.pieces[piece] = got
             ids += got
         out = NOTHING
         if ids:
             raw = pack(f"<{len(ids)}I", *ids)
             out = (raw, " ".join(map(str, ids)), self.decode(ids)) if self.with_text else (raw, "", "")
-        if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
-        self.words[word] = out
+        if len(word) <= CACHED_LENGTH:
+            if len(self.words) >= CACHE_WORDS:
+                self.words.clear()
+            self.words[word] = out
         return out
 
     def parts(self, text: str | None) -> list[tuple]:
@@ -291,15 +295,9 @@ class Vocabulary:
         return " ".join([buf[off[i]: off[i + 1]] for i in ids])
 
 
-_LOADED: dict[tuple[str, bool], Vocabulary] = {}
-
-
 def vocabulary(path: str, with_text: bool = True) -> Vocabulary:
-    """The vocabulary, loaded once per worker process; its caches hold no reference cycles, so no cycle search."""
-    gc.disable()
-    if (path, with_text) not in _LOADED:
-        _LOADED[path, with_text] = Vocabulary(path, with_text)
-    return _LOADED[path, with_text]
+    """The vocabulary, loaded once per worker process."""
+    return kept_by_worker("bpe", (path, with_text), lambda: Vocabulary(path, with_text))
 
 
 def digests(docs: DataFrame, vocab: str = VOCAB) -> DataFrame:

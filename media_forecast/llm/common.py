@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,27 @@ def shuffle_width(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * df.rdd.getNumPartitions())
 
 
+_KEPT: dict = {}
+
+
+def kept_by_worker(operator: str, key=None, make: Callable = dict):
+    """``make()``, made once per worker process for ``key`` while its tasks belong to one operator.
+
+    Workers are reused: the first task of another operator drops what was kept
+    before, so that memory does not add up over the stages of a pipeline.
+    """
+    if operator not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        _KEPT[operator] = {}
+    kept = _KEPT[operator]
+    if key not in kept:
+        kept[key] = make()
+        # What was just loaded lives on: later searches for cycles need not look at it.
+        gc.freeze()
+    return kept[key]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (uint64 in, uint64 out)."""
     x = x ^ (x >> np.uint64(30))

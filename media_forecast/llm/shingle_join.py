@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from media_forecast.llm.common import components, mix64, shuffle_width, stored
+from media_forecast.llm.common import components, kept_by_worker, mix64, shuffle_width, stored
 from media_forecast.shipping import ship_package
 
 WORDS = 5
@@ -78,7 +78,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     ship_package(docs.sparkSession)
 
     def run(batches):
-        known = WordHashes()
+        known = kept_by_worker("shingles", make=WordHashes)
         for b in batches:
             sets = [shingles(t, known, words) for t in b["text"]]
             yield pd.DataFrame({
@@ -93,7 +93,7 @@ def fragments(docs: DataFrame, buckets: int, words: int = WORDS) -> DataFrame:
     """(bucket, h, owner, keys): the parts of the sets of many documents in one hash range, each distinct set once a flush."""
 
     def run(batches):
-        known, sets, keys, held = WordHashes(), [], {}, 0
+        known, sets, keys, held = kept_by_worker("shingles", make=WordHashes), [], {}, 0
 
         def flush():
             owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from media_forecast.llm.common import kept_by_worker
 from media_forecast.shipping import ship_package
 
 WORD = re.compile(r"\w+")
@@ -139,6 +140,7 @@ def corpus_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, dict[int
     """Number of documents, and for each kept term the number that have it; counted over all rows."""
 
     def run(batches):
+        kept_by_worker("toxicity")
         find, seen, n = Terms(terms), Counter(), 0
         for b in batches:
             n += len(b)
@@ -243,6 +245,7 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     model_parts = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
 
     def run(batches):
+        kept_by_worker("toxicity")
         model = Model(*model_parts.value)
         find, memo = Terms(model.terms), {}
         for b in batches:
