@@ -56,23 +56,47 @@ def spend_response_moments(weekly_df: DataFrame, keys: list[str]) -> DataFrame:
         _moment(dx, w).alias("cx"), _moment(dy, w).alias("cy"),
         _moment(dx * dx, w).alias("cxx"), _moment(dx * dy, w).alias("cxy"), _moment(dy * dy, w).alias("cyy"),
     )
+    return with_line(df).withColumn("ratio", ratio(F.col("spend"), F.col("revenue")))
+
+
+def ratio(spend: Column, revenue: Column) -> Column:
+    """Revenue over the fitted value, null where nothing positive is fitted."""
+    fitted = F.col("intercept") + F.col("slope") * spend
+    return F.when(fitted > 0, revenue / fitted)
+
+
+def with_line(df: DataFrame, centred: dict[str, Column] | None = None) -> DataFrame:
+    """``df`` with slope, intercept and sigma from its moment columns.
+
+    ``centred`` has the moments from the smallest values (cx, cy, cxx, cxy,
+    cyy) as expressions; without it they are columns. They are looked at only
+    where the plain ones cancel.
+    """
+    c = centred or {name: F.col(name) for name in ("cx", "cy", "cxx", "cxy", "cyy")}
     n = F.col("n_weeks").cast("double")
     den = n * F.col("sxx") - F.col("sx") * F.col("sx")
     plain = den > F.lit(FLAT_TOLERANCE) * n * F.col("sxx")
-    vxx = n * F.col("cxx") - F.col("cx") * F.col("cx")
-    vxy = n * F.col("cxy") - F.col("cx") * F.col("cy")
-    vyy = n * F.col("cyy") - F.col("cy") * F.col("cy")
-    varies = F.col("cxx") > 0  # some week's spend is above the smallest
-    slope = F.when(varies & plain, (n * F.col("sxy") - F.col("sx") * F.col("sy")) / den)
-    slope = slope.when(varies, vxy / vxx).otherwise(F.lit(0.0))
+    vxx = n * c["cxx"] - c["cx"] * c["cx"]
+    vxy = n * c["cxy"] - c["cx"] * c["cy"]
+    vyy = n * c["cyy"] - c["cy"] * c["cy"]
+    slope = F.when(plain, (n * F.col("sxy") - F.col("sx") * F.col("sy")) / den)
+    slope = slope.when(c["cxx"] > 0, vxy / vxx).otherwise(F.lit(0.0))  # some week's spend is above the smallest
     df = df.withColumn("slope", slope)
     df = df.withColumn("intercept", (F.col("sy") - F.col("slope") * F.col("sx")) / n)
     sse = F.col("syy") - F.col("intercept") * F.col("sy") - F.col("slope") * F.col("sxy")
     sse = F.when(plain & (sse > F.lit(FLAT_TOLERANCE) * F.col("syy")), sse).otherwise((vyy - F.col("slope") * vxy) / n)
     sigma = F.when(F.col("n_weeks") > 2, F.sqrt(F.greatest(sse, F.lit(0.0)) / (n - F.lit(2.0)))).otherwise(F.lit(0.0))
-    df = df.withColumn("sigma", sigma)
-    fitted = F.col("intercept") + F.col("slope") * F.col("spend")
-    return df.withColumn("ratio", F.when(fitted > 0, F.col("revenue") / fitted))
+    return df.withColumn("sigma", sigma)
+
+
+def ratio_quantile(ordered: Column, q: float) -> Column:
+    """Quantile of an ascending array by linear interpolation; 1 without values."""
+    m = F.size(ordered)
+    pos = F.lit(q) * (m - F.lit(1)).cast("double")
+    lo = F.floor(pos).cast("int")
+    frac = pos - F.floor(pos)
+    v_lo, v_hi = F.get(ordered, lo), F.get(ordered, lo + 1)
+    return F.when(m == 0, F.lit(1.0)).when(frac == 0, v_lo).otherwise(v_lo + frac * (v_hi - v_lo))
 
 
 def fit_spend_response(weekly_df: DataFrame, keys: list[str], min_weeks: int = 4) -> DataFrame:
@@ -117,9 +141,13 @@ def score_horizon(fit: DataFrame, keys: list[str], requests: DataFrame, spend_co
     Quantile role (q_*): weekly fitted × ratio bands, clipped at 0 and put in
     order (low ≤ mid ≤ high), summed and scaled. All rounded to 2 dp.
     """
-    r = requests.withColumns(horizon_columns(F.col("horizon_days")))
-    r = r.withColumn("weekly_spend", weekly_spend(F.col(spend_col), F.col("equivalent_weeks")))
-    j = r.join(fit, keys, "left")
+    return score_fitted(requests.join(fit, keys, "left"), spend_col)
+
+
+def score_fitted(rows: DataFrame, spend_col: str = "planned_spend") -> DataFrame:
+    """:func:`score_horizon` on requests that already carry their fit."""
+    j = rows.withColumns(horizon_columns(F.col("horizon_days")))
+    j = j.withColumn("weekly_spend", weekly_spend(F.col(spend_col), F.col("equivalent_weeks")))
     base = F.col("intercept") + F.col("slope") * F.col("weekly_spend")
     band = F.lit(Z_INTERVAL) * F.col("sigma")
     total = F.col("n_future").cast("double")

@@ -578,21 +578,14 @@ register("backtest_windows", _bt_sql(select="SELECT * FROM bw"))(
     lambda spark, sf_dir: backtest.windows(backtest.series_daily(unified(spark, sf_dir), CH), CH, BT_H, BT_W))
 
 
-def _bt_parts(spark, sf_dir):
-    daily = backtest.materialized_daily(unified(spark, sf_dir), CH)
-    return daily, backtest.windows(daily, CH, BT_H, BT_W)
-
-
 @register("backtest_actuals", _bt_sql(select="SELECT * FROM act"))
 def q_backtest_actuals(spark, sf_dir):
-    daily, win = _bt_parts(spark, sf_dir)
-    return backtest.actuals(daily, win, CH)
+    return backtest.actuals(backtest.series_daily(unified(spark, sf_dir), CH), CH, BT_H, BT_W)
 
 
 @register("backtest_train_weekly", _bt_sql(select="SELECT * FROM tw"))
 def q_backtest_train_weekly(spark, sf_dir):
-    daily, win = _bt_parts(spark, sf_dir)
-    return backtest.train_weekly(daily, win, CH)
+    return backtest.train_weekly(backtest.series_daily(unified(spark, sf_dir), CH), CH, BT_H, BT_W)
 
 
 @register("backtest_runs", _bt_sql(select="SELECT * FROM runs"))
