@@ -741,8 +741,9 @@ import uuid  # noqa: E402
 
 from ..session import ensure_checkpoint_dir  # noqa: E402
 from ..sources import read_unified, write_unified  # noqa: E402
-from ..sources.sinks import export_csv  # noqa: E402
-from ..sources.vendors import load_bing, load_google, load_meta  # noqa: E402
+from ..functions import safe_ratio  # noqa: E402
+from ..sources.sinks import export_csv, read_parsed, write_parsed  # noqa: E402
+from ..sources.vendors import load_bing, load_google, load_lenient, load_meta  # noqa: E402
 
 
 def _scratch(spark, name):
@@ -760,6 +761,62 @@ def q_ingest_csv_roundtrip(spark, sf_dir):
             .unionByName(load_meta(spark, paths["Meta"])))
 
 
+_DIRTY_CTE = """dirty AS (SELECT *, list_filter([
+         CASE WHEN k % 11 = 3 THEN 'TimePeriod: not a date' END, CASE WHEN k % 13 = 5 THEN 'Clicks: not a whole number' END,
+         CASE WHEN k % 19 = 7 THEN 'Revenue: not a number' END, CASE WHEN k % 23 = 4 THEN 'Impressions: not a number' END],
+         lambda x: x IS NOT NULL) AS reasons
+       FROM (SELECT *, CAST(campaign_id AS BIGINT) AS k FROM bing))"""
+
+
+def _dirty_parsed(spark, sf_dir):
+    """The dirty export as CSV, parsed and written once; good rows and rejects."""
+    exported, parsed = _scratch(spark, "export-dirty"), _scratch(spark, "parsed")
+    export_csv(fixtures.dirty_bing_raw(spark, sf_dir), exported)
+    write_parsed(load_lenient(spark, "Bing", exported), parsed)
+    return read_parsed(spark, parsed)
+
+
+@register("ingest_dirty_csv", S.with_fixtures(_DIRTY_CTE, select="""
+SELECT CASE WHEN k % 29 = 6 THEN NULL ELSE date END AS date, channel, campaign_id, campaign_name, campaign_type,
+       CASE WHEN k % 17 = 2 THEN NULL ELSE spend END AS spend, revenue, clicks, impressions,
+       CASE WHEN k % 31 = 9 THEN NULL ELSE conversions END AS conversions, daily_budget, revenue_is_estimated, revenue_source
+FROM dirty WHERE len(reasons) = 0"""))
+def q_ingest_dirty_csv(spark, sf_dir):
+    """Good rows of an export with missing tokens and unreadable values; the others are rejects."""
+    return _dirty_parsed(spark, sf_dir)[0]
+
+
+@register("ingest_rejects", S.with_fixtures(_DIRTY_CTE, select="""
+SELECT channel, reason, CAST(COUNT(*) AS BIGINT) AS rows FROM (SELECT channel, unnest(reasons) AS reason FROM dirty)
+GROUP BY channel, reason"""))
+def q_ingest_rejects(spark, sf_dir):
+    """Rejected rows by reason; a row with several faults counts under each."""
+    rejects = _dirty_parsed(spark, sf_dir)[1]
+    return (rejects.select("channel", F.explode("reject_reasons").alias("reason"))
+            .groupBy("channel", "reason").agg(F.count(F.lit(1)).alias("rows")))
+
+
+_EDGE_TEXTS = ["", "NaN", "abc", "0", "-0.0", "1e3", "4"]
+
+
+@register("safe_ratio_edge_cases", f"""
+WITH t AS (SELECT l_linenumber - 1 AS n, l_suppkey % 7 AS d, l_extendedprice AS p FROM lineitem),
+v AS (SELECT *, list_extract({_EDGE_TEXTS!r}, CAST(n + 1 AS INTEGER)) AS num, list_extract({_EDGE_TEXTS!r}, CAST(d + 1 AS INTEGER)) AS den FROM t),
+c AS (SELECT *, TRY_CAST(num AS DOUBLE) AS a, TRY_CAST(den AS DOUBLE) AS b FROM v),
+r AS (SELECT num, den, CASE WHEN a IS NULL OR b IS NULL OR isnan(a) OR isnan(b) OR b = 0 THEN 0.0 ELSE a / b END AS text_ratio,
+             CASE WHEN b IS NULL OR isnan(b) OR b = 0 THEN 0.0 ELSE p / b END AS price_ratio FROM c)
+SELECT num, den, CAST(COUNT(*) AS BIGINT) AS rows, MIN(text_ratio) AS least, MAX(text_ratio) AS most, MAX(price_ratio) AS most_price FROM r GROUP BY num, den""")
+def q_safe_ratio_edge_cases(spark, sf_dir):
+    """Safe ratios of every pair of empty, non-numeric, NaN, zero and usual texts, over all of lineitem."""
+    texts = F.array(*[F.lit(t) for t in _EDGE_TEXTS])
+    li = fixtures.table(spark, sf_dir, "lineitem").select(
+        F.get(texts, (F.col("l_linenumber") - 1).cast("int")).alias("num"), F.get(texts, (F.col("l_suppkey") % 7).cast("int")).alias("den"),
+        "l_extendedprice")
+    rows = li.select("num", "den", safe_ratio("num", "den").alias("r"), safe_ratio("l_extendedprice", "den").alias("p"))
+    return rows.groupBy("num", "den").agg(F.count(F.lit(1)).alias("rows"), F.min("r").alias("least"), F.max("r").alias("most"),
+                                          F.max("p").alias("most_price"))
+
+
 @register("unified_parquet_roundtrip", S.with_fixtures(select=f"SELECT {UR} FROM unified"))
 def q_unified_parquet_roundtrip(spark, sf_dir):
     path = _scratch(spark, "unified")

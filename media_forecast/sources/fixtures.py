@@ -131,6 +131,23 @@ def meta_raw(spark: SparkSession, sf_dir: str, variant: str = "plain") -> DataFr
     return b.select(*cols)
 
 
+# Faults planted in the dirty Bing export, by supplier key: (modulus, remainder, field, text).
+DIRTY = [
+    (11, 3, "TimePeriod", "not a date"), (13, 5, "Clicks", "3.5"), (17, 2, "Spend", "NA"), (19, 7, "Revenue", "12,50"),
+    (23, 4, "Impressions", "many"), (29, 6, "TimePeriod", ""), (31, 9, "Conversions", "n/a"),
+]
+
+
+def dirty_bing_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Bing export as text with missing tokens and unreadable values planted in the rows of some suppliers."""
+    raw = bing_raw(spark, sf_dir)
+    key = F.col("CampaignId").cast("long")
+    text = {f.name: F.col(f.name).cast("string") for f in raw.schema.fields}
+    for modulus, remainder, field, value in DIRTY:
+        text[field] = F.when(key % modulus == remainder, F.lit(value)).otherwise(text[field])
+    return raw.select(*[c.alias(name) for name, c in text.items()])
+
+
 def raw_exports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {
         "Google": google_raw(spark, sf_dir),

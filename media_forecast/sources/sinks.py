@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .schema import RATIO_COLUMNS, UNIFIED_COLUMNS
+from .schema import RATIO_COLUMNS, UNIFIED_COLUMNS, UNIFIED_TYPES
+from .vendors import RAW, REASONS
 
 
 def write_unified(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -29,6 +32,23 @@ def read_unified(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*cols)
 
 
+def write_parsed(parsed: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write the rows of ``parse_lenient`` in one pass: good rows and rejects land in folders of their own.
+
+    ``rejected=false`` holds the unified rows, ``rejected=true`` the rows with
+    reasons and raw fields; each task writes both, nothing is read twice.
+    """
+    parsed.withColumn("rejected", F.col(REASONS).isNotNull()).write.mode(mode).partitionBy("rejected").parquet(path)
+
+
+def read_parsed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(good unified rows, rejects) written by :func:`write_parsed`; each reads its own folder only."""
+    fields = [*[T.StructField(c, UNIFIED_TYPES[c]) for c in UNIFIED_COLUMNS], T.StructField(REASONS, T.ArrayType(T.StringType())),
+              T.StructField(RAW, T.StringType()), T.StructField("rejected", T.BooleanType())]
+    rows = spark.read.schema(T.StructType(fields)).parquet(path)
+    return rows.where("NOT rejected").select(*UNIFIED_COLUMNS), rows.where("rejected").select("channel", REASONS, RAW)
+
+
 def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write a vendor-layout frame as headed CSV files (the exports' own format)."""
     df.write.mode(mode).option("header", True).csv(path)

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,10 +32,23 @@ from .schema import (
 
 
 class _Fields:
-    """Column types of a raw export, read once (each ``df.schema`` call re-analyses the plan)."""
+    """Column types of a raw export, read once (each ``df.schema`` call re-analyses the plan).
 
-    def __init__(self, df: DataFrame):
+    With ``faults`` (a list) unreadable values become null and the list gets an
+    expression for each field that can be unreadable: its reason, or null.
+    Without it they fail the query.
+    """
+
+    def __init__(self, df: DataFrame, faults: list[Column] | None = None):
         self.types = {f.name: f.dataType for f in df.schema.fields}
+        self.faults = faults
+
+    def unreadable(self, name: str, kind: str, text: Column, bad: Column, as_type: str) -> Column:
+        """What stands for an unreadable value: null with a reason, or an error."""
+        if self.faults is None:
+            return F.raise_error(F.concat(F.lit(f"{name}: not a {kind}: "), text)).cast(as_type)
+        self.faults.append(F.when(bad, F.lit(f"{name}: not a {kind}")))
+        return F.lit(None).cast(as_type)
 
     def __getitem__(self, name: str):
         if name not in self.types:
@@ -53,19 +66,27 @@ def _text(df: _Fields, name: str) -> Column:
 
 
 def _double(df: _Fields, name: str) -> Column:
-    c = clean_text(F.col(name)) if _is_text(df, name) else F.col(name)
-    return nan_to_null(c.cast("double"))
+    if not _is_text(df, name):
+        return nan_to_null(F.col(name).cast("double"))
+    c = clean_text(F.col(name))
+    if df.faults is None:
+        return nan_to_null(c.cast("double"))
+    number = c.try_cast("double")
+    df.unreadable(name, "number", c, c.isNotNull() & number.isNull(), "double")
+    return nan_to_null(number)
 
 
 def _long(df: _Fields, name: str) -> Column:
     if isinstance(df[name], (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         return F.col(name).cast("long")
-    # A count with a fraction is a fault of the export: it fails instead of being cut.
+    # A count with a fraction is a fault of the export: it is reported instead of being cut.
     c = _double(df, name)
-    fault = F.raise_error(F.concat(F.lit(f"{name}: not a whole number: "), c.cast("string"))).cast("long")
-    return F.when(c.isNull() | (c == F.floor(c)), c.cast("long")).otherwise(fault)
+    whole = (c == F.floor(c)) & c.between(-MOST_COUNT, MOST_COUNT)
+    fault = df.unreadable(name, "whole number", c.cast("string"), c.isNotNull() & ~whole, "long")
+    return F.when(c.isNull() | whole, c.cast("long") if df.faults is None else c.try_cast("long")).otherwise(fault)
 
 
+MOST_COUNT = 2.0**53  # counts beyond are not exact as numbers of a text export
 # Date texts read besides ISO; the month comes first where the order is open.
 DATE_PATTERNS = ["M/d/yyyy[ H:mm[:ss]]", "yyyy/M/d[ H:mm[:ss]]", "yyyyMMdd", "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy"]
 
@@ -75,8 +96,9 @@ def _date(df: _Fields, name: str) -> Column:
         return F.to_date(F.col(name))
     c = F.trim(clean_text(F.col(name)))
     others = [F.try_to_timestamp(c, F.lit(p)).cast("date") for p in DATE_PATTERNS]
-    fault = F.raise_error(F.concat(F.lit(f"{name}: not a date: "), c)).cast("date")
-    return F.when(c.isNotNull(), F.coalesce(c.try_cast("date"), *others, fault))
+    read = F.coalesce(c.try_cast("date"), *others)
+    fault = df.unreadable(name, "date", c, c.isNotNull() & read.isNull(), "date")
+    return F.when(c.isNotNull(), F.coalesce(read, fault))
 
 
 def _campaign_id(df: _Fields, name: str) -> Column:
@@ -85,8 +107,11 @@ def _campaign_id(df: _Fields, name: str) -> Column:
 
 
 def google_to_unified(raw: DataFrame) -> DataFrame:
-    f = _Fields(raw)
-    return raw.select(
+    return raw.select(*_google_columns(_Fields(raw)))
+
+
+def _google_columns(f: _Fields) -> list[Column]:
+    return [
         _date(f, "segments_date").alias("date"),
         F.lit(GOOGLE_CHANNEL).alias("channel"),
         _campaign_id(f, "campaign_id").alias("campaign_id"),
@@ -100,12 +125,15 @@ def google_to_unified(raw: DataFrame) -> DataFrame:
         _double(f, "campaign_budget_amount").alias("daily_budget"),
         F.lit(False).alias("revenue_is_estimated"),
         F.lit(GOOGLE_REVENUE_SOURCE).alias("revenue_source"),
-    )
+    ]
 
 
 def bing_to_unified(raw: DataFrame) -> DataFrame:
-    f = _Fields(raw)
-    return raw.select(
+    return raw.select(*_bing_columns(_Fields(raw)))
+
+
+def _bing_columns(f: _Fields) -> list[Column]:
+    return [
         _date(f, "TimePeriod").alias("date"),
         F.lit(BING_CHANNEL).alias("channel"),
         _campaign_id(f, "CampaignId").alias("campaign_id"),
@@ -119,7 +147,7 @@ def bing_to_unified(raw: DataFrame) -> DataFrame:
         _double(f, "DailyBudget").alias("daily_budget"),
         F.lit(False).alias("revenue_is_estimated"),
         F.lit(BING_REVENUE_SOURCE).alias("revenue_source"),
-    )
+    ]
 
 
 def meta_revenue(raw, estimated_aov: float | None = None,
@@ -144,10 +172,14 @@ def meta_revenue(raw, estimated_aov: float | None = None,
 
 def meta_to_unified(raw: DataFrame, estimated_aov: float | None = None,
                     fallback_roas: float = META_DEFAULT_FALLBACK_ROAS) -> DataFrame:
-    f = _Fields(raw)
+    return raw.select(*_meta_columns(_Fields(raw), estimated_aov, fallback_roas))
+
+
+def _meta_columns(f: _Fields, estimated_aov: float | None = None,
+                  fallback_roas: float = META_DEFAULT_FALLBACK_ROAS) -> list[Column]:
     revenue, estimated, source = meta_revenue(f, estimated_aov, fallback_roas)
     name = _text(f, "campaign_name")
-    return raw.select(
+    return [
         _date(f, "date_start").alias("date"),
         F.lit(META_CHANNEL).alias("channel"),
         _campaign_id(f, "campaign_id").alias("campaign_id"),
@@ -161,7 +193,7 @@ def meta_to_unified(raw: DataFrame, estimated_aov: float | None = None,
         _double(f, "daily_budget").alias("daily_budget"),
         F.lit(estimated).alias("revenue_is_estimated"),
         F.lit(source).alias("revenue_source"),
-    )
+    ]
 
 
 MAPPERS = {
@@ -169,6 +201,43 @@ MAPPERS = {
     BING_CHANNEL: bing_to_unified,
     META_CHANNEL: meta_to_unified,
 }
+_COLUMNS = {GOOGLE_CHANNEL: _google_columns, BING_CHANNEL: _bing_columns, META_CHANNEL: _meta_columns}
+REASONS, RAW = "reject_reasons", "raw_row"
+
+
+def parse_lenient(raw: DataFrame, channel: str, counts: Observation | None = None, **options) -> DataFrame:
+    """Unified rows of an export, each with the reasons why it is rejected and its raw fields.
+
+    Every row of ``raw`` gives one row: ``reject_reasons`` is null for good ones,
+    else an array of reasons (unreadable date, number that is none, count with a
+    fraction) and ``raw_row`` the export's fields as JSON text. Missing values are
+    no fault. ``counts`` observes ``rows`` and ``rejected`` while the rows pass by;
+    :func:`split_rejects` or ``sinks.write_parsed`` parts good rows from rejects.
+    """
+    faults: list[Column] = []
+    columns = _COLUMNS[channel](_Fields(raw, faults), **options)
+    reasons = F.array_distinct(F.array_compact(F.array(*faults))) if faults else F.array().cast("array<string>")
+    bad = F.size(REASONS) > 0
+    rows = raw.select(*columns, reasons.alias(REASONS), F.struct("*").alias(RAW)).withColumns({
+        REASONS: F.when(bad, F.col(REASONS)), RAW: F.when(bad, F.to_json(RAW, {"ignoreNullFields": "false"}))})
+    if counts is not None:
+        rows = rows.observe(counts, F.count(F.lit(1)).alias("rows"), F.count(REASONS).alias("rejected"))
+    return rows
+
+
+def split_rejects(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good unified rows, rejects) of :func:`parse_lenient`."""
+    good = parsed.where(F.col(REASONS).isNull()).drop(REASONS, RAW)
+    return good, parsed.where(F.col(REASONS).isNotNull()).select("channel", REASONS, RAW)
+
+
+def load_lenient(spark: SparkSession, channel: str, path, counts: Observation | None = None, **options) -> DataFrame:
+    """:func:`parse_lenient` of CSV exports; each header is mapped by itself."""
+    parts = [parse_lenient(raw, channel, **options) for raw in read_exports(spark, path)]
+    rows = reduce(DataFrame.unionByName, parts)
+    if counts is not None:
+        rows = rows.observe(counts, F.count(F.lit(1)).alias("rows"), F.count(REASONS).alias("rejected"))
+    return rows
 
 
 BLANK = "".join(map(chr, range(33)))  # what Spark trims
