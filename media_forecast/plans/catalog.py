@@ -742,6 +742,7 @@ import uuid  # noqa: E402
 from ..session import ensure_checkpoint_dir  # noqa: E402
 from ..sources import read_unified, write_unified  # noqa: E402
 from ..functions import safe_ratio  # noqa: E402
+from ..sources.export_source import load_vendor_export  # noqa: E402
 from ..sources.sinks import export_csv, read_parsed, write_parsed  # noqa: E402
 from ..sources.vendors import load_bing, load_google, load_lenient, load_meta  # noqa: E402
 
@@ -761,6 +762,17 @@ def q_ingest_csv_roundtrip(spark, sf_dir):
             .unionByName(load_meta(spark, paths["Meta"])))
 
 
+@register("ingest_source_roundtrip", ORACLE["ingest_csv_roundtrip"])
+def q_ingest_source_roundtrip(spark, sf_dir):
+    """The three exports as CSV, read by the data source whose tasks read the headers."""
+    frames = []
+    for ch, raw in fixtures.raw_exports(spark, sf_dir).items():
+        path = _scratch(spark, f"source-{ch.lower()}")
+        export_csv(raw, path)
+        frames.append(load_vendor_export(spark, ch, path))
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
 _DIRTY_CTE = """dirty AS (SELECT *, list_filter([
          CASE WHEN k % 11 = 3 THEN 'TimePeriod: not a date' END, CASE WHEN k % 13 = 5 THEN 'Clicks: not a whole number' END,
          CASE WHEN k % 19 = 7 THEN 'Revenue: not a number' END, CASE WHEN k % 23 = 4 THEN 'Impressions: not a number' END],

@@ -178,6 +178,12 @@ def meta_to_unified(raw: DataFrame, estimated_aov: float | None = None,
 def _meta_columns(f: _Fields, estimated_aov: float | None = None,
                   fallback_roas: float = META_DEFAULT_FALLBACK_ROAS) -> list[Column]:
     revenue, estimated, source = meta_revenue(f, estimated_aov, fallback_roas)
+    return meta_columns(f, revenue, F.lit(estimated), F.lit(source))
+
+
+def meta_columns(raw, revenue: Column, estimated: Column, source: Column) -> list[Column]:
+    """The unified columns of a Meta export, given how its revenue is found."""
+    f = raw if isinstance(raw, _Fields) else _Fields(raw)
     name = _text(f, "campaign_name")
     return [
         _date(f, "date_start").alias("date"),
@@ -191,8 +197,8 @@ def _meta_columns(f: _Fields, estimated_aov: float | None = None,
         _long(f, "impressions").alias("impressions"),
         _double(f, "conversion").alias("conversions"),
         _double(f, "daily_budget").alias("daily_budget"),
-        F.lit(estimated).alias("revenue_is_estimated"),
-        F.lit(source).alias("revenue_source"),
+        estimated.alias("revenue_is_estimated"),
+        source.alias("revenue_source"),
     ]
 
 
