@@ -93,12 +93,13 @@ def _row_mean(c: str) -> Column:
     return F.try_divide(exact_sum_nullable(c), F.count(c).cast("double"))
 
 
-def channel_metrics(df: DataFrame, lookback_days: int = DEFAULT_LOOKBACK_DAYS) -> DataFrame:
+def channel_metrics(df: DataFrame, lookback_days: int = DEFAULT_LOOKBACK_DAYS,
+                    as_of: dt.date | None = None) -> DataFrame:
     """Per-channel KPIs over the look-back window (one aggregate, no joins).
 
     ``avg_daily_*`` are means over rows in the window (not per calendar day).
     """
-    recent = lookback(df, lookback_days).filter(F.col("channel").isNotNull())
+    recent = lookback(df, lookback_days, as_of).filter(F.col("channel").isNotNull())
     has_flag = "revenue_is_estimated" in df.columns
     has_source = "revenue_source" in df.columns
     est = F.count_if(F.coalesce(F.col("revenue_is_estimated"), F.lit(False))) if has_flag else F.lit(0)
@@ -127,14 +128,16 @@ def channel_metrics(df: DataFrame, lookback_days: int = DEFAULT_LOOKBACK_DAYS) -
     )
 
 
-def lookback_rows(df: DataFrame, lookback_days: int = DEFAULT_LOOKBACK_DAYS) -> DataFrame:
-    return (lookback(df, lookback_days).filter(F.col("channel").isNotNull())
+def lookback_rows(df: DataFrame, lookback_days: int = DEFAULT_LOOKBACK_DAYS,
+                  as_of: dt.date | None = None) -> DataFrame:
+    return (lookback(df, lookback_days, as_of).filter(F.col("channel").isNotNull())
             .groupBy("channel").agg(F.count(F.lit(1)).alias("rows")))
 
 
-def historical_summary(df: DataFrame, lookback_days: int = DEFAULT_LOOKBACK_DAYS) -> DataFrame:
+def historical_summary(df: DataFrame, lookback_days: int = DEFAULT_LOOKBACK_DAYS,
+                       as_of: dt.date | None = None) -> DataFrame:
     """Per-channel totals, row means and aggregate ratios (all 2 dp) + overall date range."""
-    recent = lookback(df, lookback_days).filter(F.col("channel").isNotNull())
+    recent = lookback(df, lookback_days, as_of).filter(F.col("channel").isNotNull())
     per = recent.groupBy("channel").agg(
         exact_sum("spend").alias("total_spend"),
         exact_sum("revenue").alias("total_revenue"),
@@ -163,10 +166,11 @@ def historical_summary(df: DataFrame, lookback_days: int = DEFAULT_LOOKBACK_DAYS
     return out.crossJoin(F.broadcast(overall))
 
 
-def campaign_history(df: DataFrame, lookback_days: int = DEFAULT_LOOKBACK_DAYS) -> DataFrame:
+def campaign_history(df: DataFrame, lookback_days: int = DEFAULT_LOOKBACK_DAYS,
+                     as_of: dt.date | None = None) -> DataFrame:
     """Revenue, spend, estimated rows and source labels per (channel, name, type)."""
     keys = ["channel", "campaign_name", "campaign_type"]
-    recent = lookback(df, lookback_days).filter(keys_present(keys))
+    recent = lookback(df, lookback_days, as_of).filter(keys_present(keys))
     return recent.groupBy(*keys).agg(
         exact_sum("revenue").alias("historical_revenue"),
         exact_sum("spend").alias("historical_spend"),

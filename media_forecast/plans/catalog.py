@@ -741,7 +741,9 @@ import uuid  # noqa: E402
 
 from ..session import ensure_checkpoint_dir  # noqa: E402
 from ..sources import read_unified, write_unified  # noqa: E402
-from ..functions import safe_ratio  # noqa: E402
+from ..functions import exact_sum, safe_ratio  # noqa: E402
+from ..operators import stored_checks  # noqa: E402
+from ..sources import month_store  # noqa: E402
 from ..sources.export_source import load_vendor_export  # noqa: E402
 from ..sources.sinks import export_csv, read_parsed, write_parsed  # noqa: E402
 from ..sources.vendors import load_bing, load_google, load_lenient, load_meta  # noqa: E402
@@ -836,6 +838,72 @@ def q_unified_parquet_roundtrip(spark, sf_dir):
     return read_unified(spark, path)
 
 
+# ---------------------------------------------------------------------------
+# month store: deliveries by channel, restated months, reports from stored checks
+
+
+def _delivery(spark, sf_dir, channel):
+    """The unified rows of one channel's export."""
+    frames = load_channels(spark, {channel: fixtures.raw_exports(spark, sf_dir)[channel]}, required=())
+    return unify_ops.unify(frames.values(), spark)
+
+
+def _month_store(spark, sf_dir):
+    """A store filled by one delivery per channel."""
+    root = _scratch(spark, "months")
+    for channel in fixtures.CHANNEL_FLAGS:
+        month_store.deliver(_delivery(spark, sf_dir, channel), root)
+    return root
+
+
+def _store_quality_sql() -> str:
+    parts = [f"SELECT '{c}' AS check, CAST(NULL AS VARCHAR) AS part, {c} AS value FROM cnt" for c in quality.SCALAR_CHECKS]
+    parts += [f"SELECT 'missing_values', '{c}', CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS BIGINT) FROM unified "
+              f"HAVING COUNT(*) FILTER (WHERE {c} IS NULL) > 0" for c in _MISSING_COLS]
+    for name, key in [("record_counts", "records"), ("missing_date_counts", "missing_dates"),
+                      ("coverage_mismatch", "starts_after_global_min_days"), ("coverage_mismatch", "ends_before_global_max_days")]:
+        parts.append(f"SELECT '{key}', channel, CAST({key} AS BIGINT) FROM ({ORACLE['dq_' + name]})")
+    return f"WITH cnt AS ({ORACLE['dq_counts']}), rows AS ({S.with_fixtures(select='SELECT * FROM unified')}) " + " UNION ALL ".join(
+        x.replace("FROM unified", "FROM rows") if x.startswith("SELECT 'missing_values'") else x for x in parts)
+
+
+@register("store_quality", _store_quality_sql())
+def q_store_quality(spark, sf_dir):
+    """The reports of the stored checks in long form: counts, missing values by column, coverage by channel."""
+    checks = month_store.checks_of(spark, _month_store(spark, sf_dir))
+    total = stored_checks.counts(checks).unpivot([], quality.SCALAR_CHECKS, "check", "value").withColumn("part", F.lit(None).cast("string"))
+    missing = stored_checks.missing_values(checks).select(
+        F.lit("missing_values").alias("check"), F.col("column_name").alias("part"), F.col("missing_count").alias("value"))
+    days = ["missing_dates", "starts_after_global_min_days", "ends_before_global_max_days"]
+    cover = stored_checks.coverage(checks).select("channel", *[F.col(c).cast("long").alias(c) for c in days])
+    per = stored_checks.record_counts(checks).unpivot(["channel"], ["records"], "check", "value").unionByName(
+        cover.unpivot(["channel"], days, "check", "value"))
+    return total.unionByName(missing).unionByName(per.withColumnRenamed("channel", "part"))
+
+
+@register("store_channel_metrics", ORACLE["channel_metrics"])
+def q_store_channel_metrics(spark, sf_dir):
+    """Channel KPIs of the look-back window, from the folders of its months only."""
+    recent, as_of = month_store.lookback_of(spark, _month_store(spark, sf_dir))
+    return kpis.channel_metrics(recent, as_of=as_of)
+
+
+RESTATED = "1995-03"
+
+
+@register("store_restated_month", S.with_fixtures(select=f"""
+SELECT channel, strftime(date, '%Y-%m') AS month, CAST(COUNT(*) AS BIGINT) AS rows,
+       {S.xsum(f"CASE WHEN channel = 'Bing' AND strftime(date, '%Y-%m') = '{RESTATED}' THEN revenue * 2 ELSE revenue END")} AS revenue
+FROM unified GROUP BY ALL"""))
+def q_store_restated_month(spark, sf_dir):
+    """Revenue by month after one month of one channel was delivered again with other figures."""
+    root = _month_store(spark, sf_dir)
+    again = _delivery(spark, sf_dir, "Bing").where(stored_checks.month_of() == RESTATED)
+    month_store.deliver(again.withColumn("revenue", F.col("revenue") * 2), root, [RESTATED])
+    return (month_store.rows_of(spark, root).groupBy("channel", stored_checks.month_of().alias("month"))
+            .agg(F.count(F.lit(1)).alias("rows"), exact_sum("revenue").alias("revenue")))
+
+
 def _summary_sql() -> str:
     overall = " UNION ALL ".join(
         f"SELECT '{c}' AS check, CAST(NULL AS VARCHAR) AS channel, CAST({c} AS BIGINT) AS value FROM cnt"
