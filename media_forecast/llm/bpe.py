@@ -10,7 +10,8 @@ Decoding slices one text buffer by an offset table.
 
 Text rules of the vocabulary file (word ends, lower case, white space dropped):
 NFC, lower case by code point, words split at white space and by letter runs,
-single digits and runs of other signs; bytes stand as printable signs; the
+single digits and runs of other signs (beyond ASCII by the library's character
+tables, so that every code point is taken as it takes it); bytes stand as printable signs; the
 last sign of a word carries the word-end mark. The strings of special tokens
 are recognised in the raw text, as the tokenizer's default does.
 
@@ -23,7 +24,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from struct import pack
 
 import ahocorasick
@@ -32,6 +32,7 @@ import pandas as pd
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from media_forecast.llm.common import kept_by_worker
 from media_forecast.shipping import ship_package
@@ -40,7 +41,11 @@ VOCAB = "word_bpe_49k.json"
 CACHE_WORDS = 600_000  # words remembered by a worker; memory bound only
 CACHE_PIECES, CACHED_LENGTH = 200_000, 64  # their lower-case pieces, and the signs of a word or piece that is remembered
 # The split pattern and the white space of the vocabulary file.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_PIECES = regex.compile(PIECES)
+# Letters, digits, lower case and compositions differ between versions of Unicode: beyond ASCII they are the library's own.
+NORMAL = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+ANY_PIECES = pre_tokenizers.Split(Regex(PIECES), "removed", invert=True)
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 SPACES = re.compile(f"[{SPACE}]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")  # split by str.split, but no white space here
@@ -223,14 +228,14 @@ class Vocabulary:
     @staticmethod
     def _split(word: str) -> tuple[str, ...] | list[str]:
         """The lower-case pieces of one white-space-free word."""
-        low = word if word.isascii() else unicodedata.normalize("NFC", word)
-        low = low.lower() if "Σ" not in low else "".join(c.lower() for c in low)
+        ascii_only = word.isascii()
+        low = word.lower() if ascii_only else NORMAL.normalize_str(word)
         # The usual words need no pattern: letters only, or letters and one sign behind them.
         if low.isalpha():
             return (low,)
-        if low[-1] in ",." and low[:-1].isalpha():
+        if low[-1:] in (",", ".") and low[:-1].isalpha():
             return (low[:-1], low[-1])
-        return PIECES.findall(low)
+        return ASCII_PIECES.findall(low) if ascii_only else [piece for piece, _ in ANY_PIECES.pre_tokenize_str(low)]
 
     def _encode_piece(self, piece: str) -> list[int]:
         raw = piece.encode("utf-8")

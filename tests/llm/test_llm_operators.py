@@ -64,6 +64,20 @@ def test_bpe_equals_library(spark, docs, edge):
         assert got == sorted(want, key=str)
 
 
+def test_bpe_takes_every_code_point_as_the_library():
+    """All planes that have or may get signs: alone between letters, in upper case, before a mark, behind a digit."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(bpe.VOCAB)
+    lib, own = Tokenizer.from_file(path), bpe.Vocabulary(path)
+    points = [c for c in [*range(0x40000), *range(0xE0000, 0xE0200), 0xF0000, 0x10FFFF] if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 50_000):
+        lots = [points[i: i + 10] for i in range(at, min(at + 50_000, len(points)), 10)]
+        lines = [" ".join(f"a{chr(c)}B {chr(c)}\u0301x 1{chr(c)}" for c in lot) for lot in lots]
+        for line, want in zip(lines, lib.encode_batch(lines, add_special_tokens=False), strict=True):
+            assert own.encode(line).tolist() == want.ids, line
+
+
 def test_every_token_encodes_itself():
     v = bpe.Vocabulary(public_tokenizers.path(bpe.VOCAB))
     assert all(v._whole(i) for i in v.id_of.values())
