@@ -745,7 +745,7 @@ from ..functions import exact_sum, safe_ratio  # noqa: E402
 from ..operators import stored_checks  # noqa: E402
 from ..sources import month_store  # noqa: E402
 from ..sources.export_source import load_vendor_export  # noqa: E402
-from ..sources.sinks import export_csv, read_parsed, write_parsed  # noqa: E402
+from ..sources.sinks import export_csv, read_parsed, read_sorted, write_parsed, write_sorted  # noqa: E402
 from ..sources.vendors import load_bing, load_google, load_lenient, load_meta  # noqa: E402
 
 
@@ -904,6 +904,15 @@ def q_store_restated_month(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("rows"), exact_sum("revenue").alias("revenue")))
 
 
+@register("unified_sorted", S.with_fixtures(select=f"""
+SELECT {UR}, CAST(ROW_NUMBER() OVER (ORDER BY {_ORDER_SQL}) AS BIGINT) AS position FROM unified"""))
+def q_unified_sorted(spark, sf_dir):
+    """The whole unified table published in order of date and channel; each row with its position."""
+    path = _scratch(spark, "sorted")
+    write_sorted(unified(spark, sf_dir), path, unify_ops.ORDER_KEYS)
+    return read_sorted(spark, path)
+
+
 def _summary_sql() -> str:
     overall = " UNION ALL ".join(
         f"SELECT '{c}' AS check, CAST(NULL AS VARCHAR) AS channel, CAST({c} AS BIGINT) AS value FROM cnt"
