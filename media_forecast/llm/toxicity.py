@@ -1,25 +1,32 @@
 """Operator 1: toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Fit (on a bounded sample of labelled rows, ``SAMPLE`` rows by hash of doc_id):
-- Terms are words and word beginnings of 4 to 6 signs. A term is kept if it is
-  tied to the label in independent examples: log-likelihood ratio of at least
-  ``MIN_G2`` and ``MIN_LIFT`` times as frequent in toxic examples. Near copies
-  among the examples count once for this (equal minimum hashes of their words).
+- Terms are words, word beginnings of 4 to 6 signs, and beginnings that two,
+  or three, different words of the text share. A term is kept if examples tie
+  it to the toxic label: by its exact hypergeometric tail, at a false
+  discovery rate of ``FALSE_TERMS`` over all terms that could reach that tail
+  at all, and ``MIN_LIFT`` times as frequent in toxic examples. So the test
+  follows the size of the sample. Near copies among the examples count once
+  for this (equal minimum hashes of their words). At most ``MAX_TERMS`` terms,
+  the smallest tails first.
 - Document frequencies of the kept terms are counted over the whole corpus.
-- The index holds the examples that have a kept term, as inverted lists by
-  term with, for every block of ``BLOCK`` examples, the largest weight.
+- The index holds the examples of both labels that have a kept term, as
+  inverted lists by term with, for every block of ``BLOCK`` examples, the
+  largest weight.
 
 Search: for each document the block maxima bound the cosine of any example of
 a block; blocks are visited by falling bound until no bound reaches the k-th
 best. That is exact: the same neighbours as comparing with every example.
 
 Score: votes of the k nearest weighted by 1 / (distance + 0.1), smoothed by
-the share of toxic examples among those without any kept term; a text with no
-kept term (empty texts too) has that share as its score.
+the share of toxic examples among those without any kept term (smoothed by one
+example of the sample's share); a text with no kept term, empty texts too, has
+that share as its score.
 
 Null text counts as empty. Labels that are null, and rows of labels without a
 document, are not used; of several labels of one document the smallest counts.
-Without usable labels every score is 0. Repeated rows give repeated rows.
+Without usable labels, or toxic ones among them, every score is 0; if all are
+toxic, every score is 1. Repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -27,6 +34,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -44,7 +52,8 @@ WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6)
 SAMPLE = 8000  # labelled rows that the fit uses at most
 MAX_TERMS = 4096
-MIN_G2, MIN_LIFT = 30.0, 6.0
+FALSE_TERMS, MIN_LIFT = 0.1, 6.0
+SHARED_BY = (2, 3)  # different words of a text that make their common beginning a term of its own
 BLOCK, NEAREST = 64, 15
 PRIOR_WEIGHT = 0.5
 HELD_OUT_OF = 5
@@ -55,6 +64,18 @@ def terms_of(word: str) -> list[str]:
     return ["=" + word] + [word[:n] + "*" for n in STEMS if len(word) >= n]
 
 
+def features(words) -> set[str]:
+    """All terms of a text's different words."""
+    found: set[str] = set()
+    starts: Counter = Counter()
+    for w in words:
+        terms = terms_of(w)
+        found.update(terms)
+        starts.update(terms[1:])
+    found.update(f"{t}{n}" for t, c in starts.items() for n in SHARED_BY if c >= n)
+    return found
+
+
 def held_out(doc_id="doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(HELD_OUT_OF)) == 0, F.lit(False))
 
@@ -70,6 +91,49 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
+def tied_to_label(pairs: dict[tuple[int, int], int], pos: int, neg: int) -> dict[tuple[int, int], float]:
+    """The counts (toxic, other examples with a term) that are kept, with their tails.
+
+    ``pairs`` says how many terms have these counts. The tail of (a, b) is the
+    chance that a + b of all examples, drawn at random, hold a toxic ones or
+    more. The largest tail p is taken for which the terms that can reach p,
+    times p, are at most ``FALSE_TERMS`` of the terms at p or below.
+    """
+    n = pos + neg
+    log_fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+
+    def choose(m, k):
+        return log_fact[m] - log_fact[k] - log_fact[m - k]
+
+    def tail(a, size):
+        x = np.arange(a, min(size, pos) + 1)
+        x = x[size - x <= neg]
+        return float(np.exp(choose(pos, x) + choose(neg, size - x) - choose(n, size)).sum())
+
+    reach: Counter = Counter()  # least tail that terms of this many examples can have -> terms
+    least: dict[int, float] = {}
+    tails: dict[tuple[int, int], float] = {}
+    for (a, b), terms in pairs.items():
+        size = a + b
+        if size not in least:
+            least[size] = tail(min(size, pos), size)
+        reach[least[size]] += terms
+        if a * neg > b * pos:
+            tails[a, b] = tail(a, size)
+    floors = sorted(reach)
+    upto = np.cumsum([reach[p] for p in floors])
+    limit, below = 0.0, 0
+    for p, terms in sorted((p, pairs[ab]) for ab, p in tails.items()):
+        below += terms
+        could = upto[bisect_right(floors, p * (1 + 1e-9)) - 1]
+        if p * could <= FALSE_TERMS * below:
+            limit = p
+    return {
+        (a, b): p for (a, b), p in tails.items()
+        if p <= limit and (a + 0.5) / (pos + 1) >= MIN_LIFT * (b + 0.5) / (neg + 1)
+    }
+
+
 def pick_terms(sample: DataFrame) -> list[str]:
     """The terms tied to the label, strongest first."""
 
@@ -80,7 +144,7 @@ def pick_terms(sample: DataFrame) -> list[str]:
                 words = set(WORD.findall((t or "").lower()))
                 rare = [w for w in words if len(w) > 5] or words
                 mins = [min((xxhash.xxh64_intdigest(w, seed) >> 1 for w in rare), default=-d - 1) for seed in (1, 2, 3)]
-                rows.append((d, y, *mins, sorted({x for w in words for x in terms_of(w)})))
+                rows.append((d, y, *mins, sorted(features(words))))
             yield pd.DataFrame(rows, columns=["doc_id", "y", "m1", "m2", "m3", "terms"])
 
     examples = sample.mapInPandas(sketch, "doc_id long, y int, m1 long, m2 long, m3 long, terms array<string>")
@@ -95,44 +159,52 @@ def pick_terms(sample: DataFrame) -> list[str]:
         counts = examples.select(F.explode("terms").alias("term"), "y").groupBy("term").agg(
             F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("b")
         )
-        n = float(pos + neg)
-
-        def part(observed, expected):
-            return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
-
-        a, b = F.col("a").cast("double"), F.col("b").cast("double")
-        g2 = 2 * (
-            part(a, (a + b) * pos / n) + part(b, (a + b) * neg / n)
-            + part(pos - a, (n - a - b) * pos / n) + part(neg - b, (n - a - b) * neg / n)
-        )
-        lift = ((a + 0.5) / (pos + 1)) / ((b + 0.5) / (neg + 1))
-        best = (
-            counts.withColumn("g2", g2).where((F.col("g2") >= MIN_G2) & (lift >= MIN_LIFT))
-            .orderBy(F.desc("g2"), "term").limit(MAX_TERMS)
-        )
+        # The sample bounds the pairs (a, b), and most terms share a few of them.
+        pairs = {(r["a"], r["b"]): r["n"] for r in counts.groupBy("a", "b").agg(F.count("*").alias("n")).collect()}
+        tails = tied_to_label(pairs, pos, neg)
+        if not tails:
+            return []
+        kept = counts.sparkSession.createDataFrame([(*ab, p) for ab, p in tails.items()], "a long, b long, p double")
+        best = counts.join(F.broadcast(kept), ["a", "b"]).orderBy("p", "term").limit(MAX_TERMS)
         return [r["term"] for r in best.select("term").collect()]
     finally:
         examples.unpersist()
 
 
 class Terms:
-    """Counts the kept terms of a text."""
+    """Counts the kept terms of a text; a shared beginning counts once."""
 
     def __init__(self, terms: list[str]):
         self.at = {t: i for i, t in enumerate(terms)}
+        starts = sorted({t[:-1] for t in terms if t[0] != "=" and t[-1] != "*"})
+        self.start_at = {t: -1 - i for i, t in enumerate(starts)}
+        self.shared = [[(n, self.at[f"{t}{n}"]) for n in SHARED_BY if f"{t}{n}" in self.at] for t in starts]
         self.known: dict[str, tuple] = {}
 
+    def _places(self, word: str) -> tuple:
+        """Numbers of the word's kept terms, and below 0 those of its beginnings that may be shared."""
+        terms = terms_of(word)
+        return (*[self.at[t] for t in terms if t in self.at], *[self.start_at[t] for t in terms[1:] if t in self.start_at])
+
     def counts(self, text: str | None) -> dict[int, int]:
         got: dict[int, int] = {}
+        starts: dict[int, int] = {}
         known = self.known
         for w, c in Counter(WORD.findall((text or "").lower())).items():
             hit = known.get(w)
             if hit is None:
-                hit = tuple(self.at[t] for t in terms_of(w) if t in self.at)
+                hit = self._places(w)
                 if len(known) < KNOWN_WORDS and len(w) <= 32:
                     known[w] = hit
             for i in hit:
-                got[i] = got.get(i, 0) + c
+                if i >= 0:
+                    got[i] = got.get(i, 0) + c
+                else:
+                    starts[i] = starts.get(i, 0) + 1
+        for i, words in starts.items():
+            for n, at in self.shared[-1 - i]:
+                if words >= n:
+                    got[at] = 1
         return got
 
 
@@ -233,8 +305,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
     found = rows.mapInPandas(vectors, "doc_id long, y int, at array<int>, tf array<int>").collect()
     examples = sorted((r["doc_id"], int(r["y"] == 1), dict(zip(r["at"], r["tf"], strict=True))) for r in found if r["at"])
     blank = [int(r["y"] == 1) for r in found if not r["at"]]
-    prior = (sum(blank) + 1) / (len(blank) + 2) if found and sum(int(r["y"] == 1) for r in found) else 0.0
-    return terms, idf, examples, min(prior, 0.49)
+    share = sum(int(r["y"] == 1) for r in found) / len(found) if found else 0.0
+    return terms, idf, examples, (sum(blank) + share) / (len(blank) + 1)
 
 
 SCORE, EVIDENCE = "__toxicity_score", "__toxicity_evidence"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -223,6 +224,106 @@ def test_toxicity_held_out(spark):
     assert toxicity.classify(df.limit(0), lab).count() == 0
 
 
+def test_toxicity_terms_by_false_discovery_rate():
+    """Tails by counting combinations; the kept terms follow the size of the sample."""
+
+    def plain(pairs, pos, neg):
+        n = pos + neg
+
+        def tail(a, k):
+            return sum(math.comb(pos, x) * math.comb(neg, k - x) for x in range(a, min(k, pos) + 1) if k - x <= neg) / math.comb(n, k)
+
+        tests = sorted((tail(a, a + b), a, b) for (a, b), c in pairs.items() for _ in range(c) if a / pos > b / neg)
+        floors = [tail(min(a + b, pos), a + b) for (a, b), c in pairs.items() for _ in range(c)]
+        limit = max((p for p, *_ in tests if p * sum(f <= p * (1 + 1e-9) for f in floors) <= 0.1 * sum(q <= p * (1 + 1e-9) for q, *_ in tests)), default=0)
+        return {(a, b) for p, a, b in tests if p <= limit * (1 + 1e-9) and (a + 0.5) / (pos + 1) >= 6 * (b + 0.5) / (neg + 1)}
+
+    r = random.Random(5)
+    kept = 0
+    for pos, neg, size in ((10, 49, 400), (3, 4, 20), (40, 170, 600), (1, 1, 5)):
+        pairs = Counter()
+        for k in range(size):
+            a, b = (r.randint(min(pos, 4), pos), 0) if k % 9 == 0 else (r.randint(0, min(pos, 2)), r.randint(0, neg))
+            if a + b:
+                pairs[a, b] += 1
+        got = toxicity.tied_to_label(dict(pairs), pos, neg)
+        assert set(got) == plain(pairs, pos, neg)
+        kept += len(got)
+    assert kept > 10
+    assert toxicity.tied_to_label({}, 5, 5) == {}
+
+
+def test_toxicity_scores_are_the_plain_ones(spark):
+    """Whole result against every example: shared beginnings, repeated rows, several labels, very long texts, clashing columns."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows, labels = [], []
+    for k in range(400):
+        words = [word() for _ in range(30)]
+        if k % 4 == 0:
+            words += [f"bileug{word()}" for _ in range(3)] if k % 8 else ["grubword"]
+        elif k % 4 == 1:
+            words += [f"bileug{word()}"]
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(k % 4 == 0)))
+    rows += [rows[8], rows[9], (500, "calm " * 200_000 + "grubword"), (501, None), (502, "")]
+    labels += [(9, 1), (9, 0), (500, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS score", "1 AS y", "2 AS at", "3 AS term")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int").selectExpr("*", "'x' AS text", "4 AS n")
+    terms, idf, examples, prior = toxicity.fit(df, lab)
+    assert "=grubword" in terms and any(t.startswith("bileu") and t[-1] in "23" for t in terms)
+
+    def counts(text):
+        words = Counter(re.findall(r"\w+", (text or "").lower()))
+        out = {}
+        for i, t in enumerate(terms):
+            if t[0] == "=":
+                c = words.get(t[1:], 0)
+            elif t[-1] == "*":
+                c = sum(n for w, n in words.items() if w.startswith(t[:-1]))
+            else:
+                c = int(sum(w.startswith(t[:-2]) for w in words) >= int(t[-1]))
+            if c:
+                out[i] = c
+        return out
+
+    seen = [counts(t) for _, t in rows]
+    assert [round(x, 9) for x in idf] == [round(math.log((1 + len(rows)) / (1 + sum(i in c for c in seen))) + 1, 9) for i in range(len(terms))]
+
+    def vector(c):
+        v = {i: (1 + math.log(n)) * idf[i] for i, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {i: x / norm for i, x in v.items()}
+
+    held = lambda k: zlib.crc32(str(k).encode()) % 5 == 0
+    smallest = {}
+    for k, y in labels:
+        if y is not None and not held(k):
+            smallest[k] = min(y, smallest.get(k, y))
+    sample = sorted((k, counts(t), smallest[k]) for k, t in rows if k in smallest)
+    points = [(k, vector(c), y) for k, c, y in sample if c]
+    blank = [y for _, c, y in sample if not c]
+    want_prior = (sum(blank) + sum(y for *_, y in sample) / len(sample)) / (len(blank) + 1)
+    assert abs(prior - want_prior) < 1e-12
+    want = []
+    for (k, t), c in zip(rows, seen, strict=True):
+        v = vector(c) if c else {}
+        near = [(-round(sum(x * p.get(i, 0.0) for i, x in v.items()), 12), e) for e, (_, p, _) in enumerate(points)]
+        near = sorted(x for x in near if x[0] < 0)[:15]
+        w = [1 / (1 - min(1.0, -s) + 0.1) for s, _ in near]
+        y = [points[e][2] for _, e in near]
+        want.append((k, round((0.5 * prior + sum(a * b for a, b in zip(w, y, strict=True))) / (0.5 + sum(w)), 6)))
+    got = sorted((x.doc_id, round(x.score, 6)) for x in toxicity.classify(df, lab).collect())
+    assert got == sorted(want)
+    flagged = {k for k, s in got if s >= 0.5}
+    assert 500 in flagged and 501 not in flagged and sum(k % 4 == 0 for k in flagged if k < 400) >= 95 and sum(k % 4 != 0 for k in flagged if k < 400) <= 2
+    kept = toxicity.without_toxic(df, lab)
+    assert kept.columns == df.columns and sorted(x.doc_id for x in kept.collect()) == sorted(k for k, s in got if s < 0.5)
+    all_toxic = toxicity.classify(df, lab.where("toxic = 1 AND doc_id <> 9")).collect()
+    assert {x.score for x in all_toxic} == {1.0}
+    assert {x.score for x in toxicity.classify(df, lab.where("toxic = 0")).collect()} == {0.0}
+
+
 def test_fingerprints_of_neighbours(spark, docs, edge):
     for df, ranges in ((docs, 1), (docs, 7), (docs.limit(1), 4), (edge.where("doc_id < 4 OR doc_id IS NULL"), 3), (docs.limit(0), 3)):
         rows = sorted(((d, t or "") for d, t in texts(df)), key=lambda r: (r[0] is not None, r[0] or 0))
