@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import kpis, unify as unify_ops
+from ..operators import grains, kpis, unify as unify_ops
 from ..sources import fixtures
 from ..sources.vendors import load_channels, meta_to_unified
 from . import sql as S
@@ -155,6 +155,38 @@ for _grain in ("channel", "campaign_type", "campaign"):
     register(f"weekly_{_grain}", _weekly_sql(kpis.GRAINS[_grain]))(_make(_grain))
 
 
+def _grain_sql(grain: str, keys: list[str]) -> str:
+    """One grain by itself, groups with a missing key included."""
+    every = ["channel", "campaign_type", "campaign_id", "campaign_name"]
+    cols = ", ".join(k if k in keys else f"CAST(NULL AS VARCHAR) AS {k}" for k in every)
+    by = ", ".join([*keys, S.week()])
+    missing = " OR ".join(f"{k} IS NULL" for k in keys) or "FALSE"
+    return f"""SELECT '{grain}' AS grain, {cols}, {S.week()} AS week, {S.xsum('spend')} AS spend,
+       {S.xsum('revenue')} AS revenue, {S.isum('clicks')} AS clicks, {S.isum('impressions')} AS impressions,
+       {S.xsum('conversions')} AS conversions, CAST(COUNT(*) AS BIGINT) AS rows, ({missing}) AS key_missing
+FROM unified GROUP BY {by}"""
+
+
+_GRAINS_CTE = "gr AS (" + "\nUNION ALL ".join(
+    _grain_sql(g, k) for g, k in [*kpis.GRAINS.items(), ("total", [])]) + ")"
+
+
+@register("weekly_all_grains", S.with_fixtures(_GRAINS_CTE, select=f"""
+SELECT *, {S.ratio('revenue', 'spend')} AS roas FROM gr"""))
+def q_weekly_all_grains(spark, sf_dir):
+    return grains.weekly_grains(unified(spark, sf_dir))
+
+
+@register("weekly_left_out", S.with_fixtures(_GRAINS_CTE, select=f"""
+SELECT grain, {S.isum('rows')} AS rows, {S.xsum('spend')} AS spend, {S.xsum('revenue')} AS revenue,
+       CAST(COALESCE(SUM(rows) FILTER (WHERE key_missing), 0) AS BIGINT) AS rows_without_key,
+       {S.xsum('CASE WHEN key_missing THEN spend END')} AS spend_without_key,
+       {S.xsum('CASE WHEN key_missing THEN revenue END')} AS revenue_without_key
+FROM gr GROUP BY grain"""))
+def q_weekly_left_out(spark, sf_dir):
+    return grains.left_out(grains.weekly_grains(unified(spark, sf_dir)))
+
+
 @register("lookback_rows", S.with_fixtures(S.lookback_cte(), select="""
 SELECT channel, CAST(COUNT(*) AS BIGINT) AS rows FROM recent WHERE channel IS NOT NULL GROUP BY channel"""))
 def q_lookback_rows(spark, sf_dir):
@@ -475,6 +507,21 @@ def q_scenario_blended(spark, sf_dir):
     return scenarios.blended(forecast_of(spark, sf_dir))
 
 
+def _roas_sql(q: str) -> str:
+    return (f"CASE WHEN planned_spend <> 0 THEN {S.rnd(f'revenue_{q} / planned_spend')} "
+            f"ELSE {S.dbl(0.0)} END AS roas_{q}")
+
+
+@register("scenario_with_blended", S.with_fixtures(*_FC_SQL, M.blended_cte(), select=f"""
+SELECT scenario_id, channel, FALSE AS blended, planned_spend AS total_spend, revenue_low, revenue_median, revenue_high,
+       {', '.join(_roas_sql(q) for q in ('low', 'median', 'high'))} FROM fc
+UNION ALL
+SELECT scenario_id, NULL, TRUE, total_spend, revenue_low, revenue_median, revenue_high,
+       roas_low, roas_median, roas_high FROM bl"""))
+def q_scenario_with_blended(spark, sf_dir):
+    return grains.with_blended(forecast_of(spark, sf_dir))
+
+
 _PCT = (f"CASE WHEN revenue_median > 0 THEN (revenue_high - revenue_low) / revenue_median * {S.dbl(100.0)} "
         f"ELSE {S.dbl(0.0)} END")
 
@@ -501,8 +548,7 @@ UNION ALL
 SELECT scenario_id, 'blended' AS channel, revenue_low, {S.rnd('revenue_high - revenue_low')} AS band, revenue_median
 FROM bl"""))
 def q_forecast_range(spark, sf_dir):
-    fc = forecast_of(spark, sf_dir)
-    return scenarios.forecast_range(fc, scenarios.blended(fc))
+    return grains.range_table(grains.with_blended(forecast_of(spark, sf_dir)))
 
 
 @register("roas_long", S.with_fixtures(*_FC_SQL, select="""
