@@ -352,7 +352,7 @@ SELECT DISTINCT channel FROM unified WHERE channel IS NOT NULL AND COALESCE(reve
 # ---------------------------------------------------------------------------
 # features, models, scenarios
 
-from ..operators import features, models, scenarios  # noqa: E402
+from ..operators import features, models, pooled_bands, scenarios  # noqa: E402
 from . import model_sql as M  # noqa: E402
 
 CH = ["channel"]
@@ -454,6 +454,51 @@ def q_residual_bands(spark, sf_dir):
     return models.fit_spend_response(weekly_of(spark, sf_dir), CH).select("channel", "r10", "r50", "r90")
 
 
+SERIES = ["channel", "campaign_type", "campaign_id", "campaign_name"]
+POOL_WEEKS, POOL_SIZE = 120, 2000  # so that given campaigns lie on both sides of them
+
+
+def _pool_ctes() -> list[str]:
+    """Sketches of the ratios of each pool, from the rows themselves, and the values at the ranks."""
+    g = S.dbl(pooled_bands.growth())
+    lng = S.dbl(pooled_bands.math.log(pooled_bands.growth()))
+    mid = S.dbl(2.0 / (pooled_bands.growth() + 1.0))
+    out = [f"""pv AS (SELECT channel, campaign_type, CASE WHEN ratio = 0 THEN {S.dbl(0.0)}
+        ELSE sign(ratio) * {mid} * pow({g}, ceil(ln(abs(ratio)) / {lng})) END AS v
+        FROM fit_r WHERE ratio IS NOT NULL)"""]
+    for i, pool in enumerate(pooled_bands.POOLS):
+        k = "".join(f"{c}, " for c in pool)
+        by = f"PARTITION BY {', '.join(pool)}" if pool else ""
+        picks = ", ".join(
+            f"MAX(CASE WHEN rn = FLOOR({S.dbl(q)} * CAST(m - 1 AS DOUBLE)) + 1 THEN v END) AS {b}"
+            for b, q in pooled_bands.BANDS.items())
+        out.append(f"""pool{i} AS (SELECT {k} MAX(m) AS m, {picks} FROM (
+            SELECT *, ROW_NUMBER() OVER ({by} ORDER BY v) AS rn, COUNT(*) OVER ({by}) AS m FROM pv)
+            {'GROUP BY ' + ', '.join(pool) if pool else ''})""")
+    return out
+
+
+def _pool_pick(c: str, last: str) -> str:
+    arms = " ".join(f"WHEN p{i}.m >= {POOL_SIZE} THEN {c.format(i=i)}" for i in range(3))
+    return f"CASE {arms} ELSE {last} END"
+
+
+_W = f"LEAST(CAST(f.n_weeks AS DOUBLE) / {S.dbl(POOL_WEEKS)}, {S.dbl(1.0)})"
+
+
+@register("pooled_bands", S.with_fixtures(weekly_cte(SERIES), *M.fit_ctes(SERIES), *_pool_ctes(), select=f"""
+SELECT f.channel, f.campaign_type, f.campaign_id, f.campaign_name, f.n_weeks,
+       CASE WHEN p0.m >= {POOL_SIZE} THEN 'channel+campaign_type' WHEN p1.m >= {POOL_SIZE} THEN 'channel'
+            WHEN p2.m >= {POOL_SIZE} THEN 'all' ELSE 'none' END AS pool,
+       CAST({_pool_pick('p{i}.m', '0')} AS BIGINT) AS pool_values, {S.rnd(_W, 6)} AS own_weight,
+       {', '.join(S.rnd(f"CASE WHEN {_W} >= 1 THEN f.{b} ELSE {_W} * f.{b} + ({S.dbl(1.0)} - {_W}) * "
+                        + _pool_pick('p{i}.' + b, S.dbl(1.0)) + " END", 6) + f" AS {b}" for b in pooled_bands.BANDS)}
+FROM fit f LEFT JOIN pool0 p0 ON f.channel = p0.channel AND f.campaign_type = p0.campaign_type
+LEFT JOIN pool1 p1 ON f.channel = p1.channel LEFT JOIN pool2 p2 ON TRUE"""))
+def q_pooled_bands(spark, sf_dir):
+    return pooled_bands.pooled_bands(weekly_of(spark, sf_dir, SERIES), SERIES, full_weeks=POOL_WEEKS, min_pool=POOL_SIZE)
+
+
 def _scored(spark, sf_dir):
     fit = models.fit_spend_response(weekly_of(spark, sf_dir), CH)
     return models.score_horizon(fit, CH, scenarios.default_scenarios(spark))
