@@ -455,7 +455,7 @@ def q_residual_bands(spark, sf_dir):
 
 
 SERIES = ["channel", "campaign_type", "campaign_id", "campaign_name"]
-POOL_WEEKS, POOL_SIZE = 120, 2000  # so that given campaigns lie on both sides of them
+POOL_WEEKS, POOL_SIZE = 156, 4000  # three years and a size so that given campaigns lie on both sides of them
 
 
 def _pool_ctes() -> list[str]:
