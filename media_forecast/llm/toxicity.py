@@ -55,6 +55,7 @@ MAX_TERMS = 4096
 FALSE_TERMS, MIN_LIFT = 0.1, 6.0
 SHARED_BY = (2, 3)  # different words of a text that make their common beginning a term of its own
 BLOCK, NEAREST = 64, 15
+FEW_BLOCKS = 4  # blocks visited one by one before a search reads whole lists
 PRIOR_WEIGHT = 0.5
 HELD_OUT_OF = 5
 KNOWN_WORDS, KNOWN_COUNTS = 40_000, 5_000  # words, and scored sets of terms, that a worker remembers
@@ -244,6 +245,28 @@ class BlockMaxIndex:
             for i, x in vector.items():
                 self.lists[i].setdefault(e // block, []).append((e, x))
                 self.bound[i, e // block] = max(self.bound[i, e // block], x)
+        self.whole: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # lists that long searches have read in one piece
+
+    def _list(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """All of a term's list: examples and weights."""
+        if i not in self.whole:
+            pairs = [p for found in self.lists[i].values() for p in found]
+            self.whole[i] = np.array([e for e, _ in pairs], np.int64), np.array([x for _, x in pairs], float)
+        return self.whole[i]
+
+    def _nearest_of_all(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
+        sums = np.zeros(self.n)
+        for i, x in query.items():
+            at, weight = self._list(i)
+            sums[at] += x * weight
+        at = np.flatnonzero(sums)
+        cosine = np.round(sums[at], 12)
+        if len(at) > k:
+            # All that reach the k-th best cosine, so that ties are settled by the example.
+            some = cosine >= np.partition(cosine, len(at) - k)[len(at) - k]
+            at, cosine = at[some], cosine[some]
+        order = np.lexsort((at, -cosine))[:k]
+        return list(zip(cosine[order].tolist(), at[order].tolist(), strict=True))
 
     def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
         """The k best (cosine, example), falling cosine, ties to the smaller example; only examples that share a term."""
@@ -252,10 +275,13 @@ class BlockMaxIndex:
         terms = list(query)
         bounds = np.array([query[i] for i in terms]) @ self.bound[terms]
         top: list[tuple[float, int]] = []  # heap of (cosine, -example)
-        for at in np.argsort(-bounds, kind="stable"):
+        for visits, at in enumerate(np.argsort(-bounds, kind="stable")):
             reach = bounds[at] + 1e-9  # the sums below may round otherwise than the bound
             if bounds[at] <= 0 or len(top) == k and reach < top[0][0]:
                 break
+            if visits == FEW_BLOCKS:
+                # The bounds do not settle it soon: the same sums, list by list over all blocks, cost less.
+                return self._nearest_of_all(query, k)
             sums: dict[int, float] = {}
             for i in terms:
                 for e, x in self.lists[i].get(int(at), ()):
