@@ -1,4 +1,4 @@
-"""Learned per-series models (level ii): fitted with ``applyInPandas``, scored in SQL.
+"""Learned per-series models (level ii): fitted with ``applyInPandas`` and ``mapInArrow``, scored in SQL.
 
 * Trend model (the time-series role): ridge regression of weekly revenue on a
   piecewise-linear trend (hinge changepoints over the first 95 % of history),
@@ -8,11 +8,12 @@
   and P90 on the seven weekly features, by iteratively reweighted least
   squares with a fixed number of rounds.
 
-Fitting is grouped by the series keys; one group is one series' weekly rows
-(bounded by the calendar), sorted by week inside the function so results do
-not depend on row arrival order. Fitted parameters come back as arrays and
-scoring joins them to future rows and takes dot products with higher-order
-array functions, all JVM-side.
+A series' weekly rows become one row of arrays in the order of weeks (bounded
+by the calendar), so results do not depend on row arrival order. A Python call
+fits a batch of series; the quantile model solves those with equally many weeks
+together. Fitted parameters come back as arrays and scoring joins them to
+future rows and takes dot products with higher-order array functions, all
+JVM-side.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +39,8 @@ MIN_SPAN_FOR_YEARLY = 730  # days: yearly terms only with two years of history
 TREND_RIDGE = 1.0
 QUANTILE_ROUNDS = 60
 QUANTILE_FEATURES = ["spend", "month", "quarter", "week_of_year", "spend_lag1", "spend_lag4", "spend_rolling4"]
+LEVELS = {f"q{int(round(q * 100))}": q for q in QUANTILES}
+SERIES_AT_ONCE = 64  # series solved together: memory bound only
 DAYS_PER_YEAR = 365.25
 EPOCH = pd.Timestamp("1970-01-01")
 
@@ -85,6 +89,32 @@ def _fit_trend_group(keys: list[str]):
     return fit
 
 
+def series_arrays(weekly_df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row per series: its keys and, in the order of weeks, an array of ``week`` (days since the epoch) and of each column.
+
+    A series is bounded by the calendar, so the arrays are too.
+    """
+    day = F.unix_date(F.col("week").cast("date")).alias("week")
+    rows = F.array_sort(F.collect_list(F.struct(day, *[F.col(c).cast("double").alias(c) for c in columns])))
+    one = weekly_df.groupBy(*keys).agg(rows.alias("__rows"))
+    return one.select(*keys, *[F.col(f"__rows.{c}").alias(f"__{c}") for c in ("week", *columns)])
+
+
+def _flat(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each series of an array column begins (and the last one ends), and the values of all; missing ones are NaN."""
+    arrays = batch.column(f"__{column}")
+    return arrays.offsets.to_numpy(), arrays.values.to_numpy(zero_copy_only=False)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0), *arrays])))
+
+
+def _fitted(batch: pa.RecordBatch, keys: list[str], found: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *found.values()], names=[*keys, *found])
+
+
 def _key_fields(df: DataFrame, keys: list[str]) -> list[T.StructField]:
     return [df.schema[k] for k in keys]
 
@@ -145,34 +175,43 @@ def trend_forecast(fit: DataFrame, keys: list[str], requests: DataFrame, spend_c
                                  for c, n in (("lo", "low"), ("mid", "median"), ("hi", "high"))])
 
 
-def _pinball_irls(X: np.ndarray, y: np.ndarray, tau: float) -> np.ndarray:
-    p = X.shape[1]
+def _pinball_irls(XT: np.ndarray, y: np.ndarray, start: np.ndarray, tau: float) -> np.ndarray:
+    """Coefficients of several series with equally many weeks: designs (series, feature, week), revenue (series, week), first guesses."""
+    p = XT.shape[1]
     ridge = 1e-6 * np.eye(p)
     ridge[0, 0] = 0.0
-    beta = np.linalg.lstsq(X, y, rcond=None)[0]
-    eps = 1e-6 * (float(np.abs(y).mean()) + 1.0)
+    X = XT.transpose(0, 2, 1)
+    beta = start[:, :, None]
+    eps = 1e-6 * (np.abs(y).mean(axis=1, keepdims=True) + 1.0)
     for _ in range(QUANTILE_ROUNDS):
-        r = y - X @ beta
+        r = y - (X @ beta)[:, :, 0]
         w = np.where(r >= 0, tau, 1.0 - tau) / np.maximum(np.abs(r), eps)
-        A = X.T @ (X * w[:, None]) + ridge
-        beta = np.linalg.solve(A + 1e-12 * np.eye(p), X.T @ (w * y))
-    return beta
-
-
-def _fit_quantile_group(keys: list[str]):
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("week")
-        Xr = pdf[QUANTILE_FEATURES].to_numpy(dtype=float)
-        mu = Xr.mean(axis=0)
-        sd = Xr.std(axis=0)
-        sd[sd == 0] = 1.0
-        X = np.concatenate([np.ones((len(pdf), 1)), (Xr - mu) / sd], axis=1)
-        y = pdf["revenue"].to_numpy(dtype=float)
-        row = {k_: pdf[k_].iloc[0] for k_ in keys}
-        row.update(n_weeks=len(pdf), feature_mean=mu.tolist(), feature_std=sd.tolist())
-        for q in QUANTILES:
-            row[f"q{int(round(q * 100))}"] = _pinball_irls(X, y, q).tolist()
-        return pd.DataFrame([row])
+        A = XT @ (XT * w[:, None, :]).transpose(0, 2, 1) + ridge
+        beta = np.linalg.solve(A + 1e-12 * np.eye(p), XT @ (w * y)[:, :, None])
+    return beta[:, :, 0]
+
+
+def _fit_quantile_batches(keys: list[str]):
+    def fit(batches):
+        for b in batches:
+            at, y = _flat(b, "revenue")
+            values = [_flat(b, c)[1] for c in QUANTILE_FEATURES]
+            weeks = np.diff(at)
+            found = {c: np.zeros((len(weeks), len(QUANTILE_FEATURES) + (c[0] == "q"))) for c in ("feature_mean", "feature_std", *LEVELS)}
+            # Series with equally many weeks are solved together, as many as stay in the processor's cache.
+            for n in np.unique(weeks):
+                same = np.flatnonzero(weeks == n)
+                for some in np.split(same, range(SERIES_AT_ONCE, len(same), SERIES_AT_ONCE)):
+                    rows = at[some][:, None] + np.arange(n)
+                    Xr = np.stack([v[rows] for v in values], axis=1)
+                    mu, sd = Xr.mean(axis=2), Xr.std(axis=2)
+                    sd[sd == 0] = 1.0
+                    XT = np.concatenate([np.ones((len(some), 1, n)), (Xr - mu[:, :, None]) / sd[:, :, None]], axis=1)
+                    start = np.stack([np.linalg.lstsq(X.T, revenue, rcond=None)[0] for X, revenue in zip(XT, y[rows], strict=True)])
+                    found["feature_mean"][some], found["feature_std"][some] = mu, sd
+                    for c, q in LEVELS.items():
+                        found[c][some] = _pinball_irls(XT, y[rows], start, q)
+            yield _fitted(b, keys, {"n_weeks": pa.array(weeks, pa.int64()), **{c: _lists([*v]) for c, v in found.items()}})
     return fit
 
 
@@ -182,10 +221,10 @@ def fit_quantile(weekly_df: DataFrame, keys: list[str]) -> DataFrame:
     schema = T.StructType(_key_fields(weekly_df, keys) + [
         T.StructField("n_weeks", T.LongType()),
         T.StructField("feature_mean", arr), T.StructField("feature_std", arr),
-        *[T.StructField(f"q{int(round(q * 100))}", arr) for q in QUANTILES],
+        *[T.StructField(c, arr) for c in LEVELS],
     ])
-    src = feat.build_features(weekly_df, keys).select(*keys, "week", "revenue", *QUANTILE_FEATURES)
-    return src.groupBy(*keys).applyInPandas(_fit_quantile_group(keys), schema)
+    rows = feat.build_features(weekly_df, keys)
+    return series_arrays(rows, keys, ["revenue", *QUANTILE_FEATURES]).mapInArrow(_fit_quantile_batches(keys), schema)
 
 
 def quantile_forecast(fit: DataFrame, keys: list[str], future_rows: DataFrame) -> DataFrame:
@@ -196,7 +235,7 @@ def quantile_forecast(fit: DataFrame, keys: list[str], future_rows: DataFrame) -
     z = F.zip_with(F.zip_with(x, F.col("feature_mean"), lambda a, m: a - m), F.col("feature_std"),
                    lambda a, s: a / s)
     design = F.concat(F.array(F.lit(1.0)), z)
-    preds = [F.greatest(_dot(design, F.col(f"q{int(round(q * 100))}")), F.lit(0.0)) for q in QUANTILES]
+    preds = [F.greatest(_dot(design, F.col(c)), F.lit(0.0)) for c in LEVELS]
     srt = F.array_sort(F.array(*preds))
     per_week = j.select("scenario_id", *keys, "horizon_days", "horizon_scale",
                         F.element_at(srt, 1).alias("lo"), F.element_at(srt, 2).alias("mid"),
