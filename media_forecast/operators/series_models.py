@@ -1,4 +1,4 @@
-"""Learned per-series models (level ii): fitted with ``applyInPandas`` and ``mapInArrow``, scored in SQL.
+"""Learned per-series models (level ii): fitted with ``mapInArrow``, scored in SQL.
 
 * Trend model (the time-series role): ridge regression of weekly revenue on a
   piecewise-linear trend (hinge changepoints over the first 95 % of history),
@@ -21,7 +21,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +41,6 @@ QUANTILE_FEATURES = ["spend", "month", "quarter", "week_of_year", "spend_lag1",
 LEVELS = {f"q{int(round(q * 100))}": q for q in QUANTILES}
 SERIES_AT_ONCE = 64  # series solved together: memory bound only
 DAYS_PER_YEAR = 365.25
-EPOCH = pd.Timestamp("1970-01-01")
 
 
 def _fourier(days_since_epoch: np.ndarray, order: int) -> np.ndarray:
@@ -58,35 +56,26 @@ def _trend_design(t, cps, epoch_days, order, spend_z):
                           axis=1)
 
 
-def _fit_trend_group(keys: list[str]):
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("week")
-        weeks = pd.to_datetime(pdf["week"])
-        first = weeks.iloc[0]
-        days = (weeks - first).dt.days.to_numpy(dtype=float)
-        span = max(float(days[-1]), 1.0)
-        t = days / span
-        n = len(pdf)
-        y = pdf["revenue"].to_numpy(dtype=float)
-        x = pdf["spend"].to_numpy(dtype=float)
-        mu, sd = float(x.mean()), float(x.std())
-        sd = sd if sd > 0 else 1.0
-        k = min(MAX_CHANGEPOINTS, n // 8)
-        head = t[: max(1, int(math.ceil(CHANGEPOINT_RANGE * n)))]
-        cps = np.quantile(head, np.linspace(0, 1, k + 2)[1:-1]).tolist() if k > 0 else []
-        order = YEARLY_ORDER if float(days[-1]) >= MIN_SPAN_FOR_YEARLY else 0
-        epoch_days = (weeks - EPOCH).dt.days.to_numpy(dtype=float)
-        X = _trend_design(t, cps, epoch_days, order, (x - mu) / sd)
-        pen = np.full(X.shape[1], TREND_RIDGE)
-        pen[0] = 0.0
-        beta = np.linalg.solve(X.T @ X + np.diag(pen) + 1e-9 * np.eye(X.shape[1]), X.T @ y)
-        resid = y - X @ beta
-        sigma = float(np.sqrt((resid ** 2).sum() / max(n - 2, 1))) if n > 2 else 0.0
-        row = {k_: pdf[k_].iloc[0] for k_ in keys}
-        row.update(n_weeks=n, first_week=first.date(), last_week=weeks.iloc[-1].date(), span_days=span, changepoints=[float(c) for c in cps],
-                   fourier_order=order, spend_mean=mu, spend_std=sd, params=[float(b) for b in beta], sigma=sigma)
-        return pd.DataFrame([row])
-    return fit
+def _fit_trend_series(week: np.ndarray, x: np.ndarray, y: np.ndarray) -> dict:
+    """Parameters of one series: its weeks in order (days since the epoch), spend and revenue."""
+    days = (week - week[0]).astype(float)
+    span = max(float(days[-1]), 1.0)
+    t = days / span
+    n = len(week)
+    mu, sd = float(x.mean()), float(x.std())
+    sd = sd if sd > 0 else 1.0
+    k = min(MAX_CHANGEPOINTS, n // 8)
+    head = t[: max(1, int(math.ceil(CHANGEPOINT_RANGE * n)))]
+    cps = np.quantile(head, np.linspace(0, 1, k + 2)[1:-1]) if k > 0 else np.zeros(0)
+    order = YEARLY_ORDER if float(days[-1]) >= MIN_SPAN_FOR_YEARLY else 0
+    X = _trend_design(t, cps, week.astype(float), order, (x - mu) / sd)
+    pen = np.full(X.shape[1], TREND_RIDGE)
+    pen[0] = 0.0
+    beta = np.linalg.solve(X.T @ X + np.diag(pen) + 1e-9 * np.eye(X.shape[1]), X.T @ y)
+    resid = y - X @ beta
+    sigma = float(np.sqrt((resid ** 2).sum() / max(n - 2, 1))) if n > 2 else 0.0
+    return dict(n_weeks=n, first_week=int(week[0]), last_week=int(week[-1]), span_days=span, changepoints=cps, fourier_order=order,
+                spend_mean=mu, spend_std=sd, params=beta, sigma=sigma)
 
 
 def series_arrays(weekly_df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -115,6 +104,18 @@ def _fitted(batch: pa.RecordBatch, keys: list[str], found: dict[str, pa.Array])
     return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *found.values()], names=[*keys, *found])
 
 
+def _fit_trend_batches(keys: list[str]):
+    def fit(batches):
+        for b in batches:
+            (at, week), (_, x), (_, y) = _flat(b, "week"), _flat(b, "spend"), _flat(b, "revenue")
+            rows = [_fit_trend_series(week[i:j], x[i:j], y[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+            kinds = dict(n_weeks=pa.int64(), first_week=pa.date32(), last_week=pa.date32(), span_days=pa.float64(), changepoints=None,
+                         fourier_order=pa.int32(), spend_mean=pa.float64(), spend_std=pa.float64(), params=None, sigma=pa.float64())
+            yield _fitted(b, keys, {c: pa.array([r[c] for r in rows], kind) if kind else _lists([r[c] for r in rows])
+                                    for c, kind in kinds.items()})
+    return fit
+
+
 def _key_fields(df: DataFrame, keys: list[str]) -> list[T.StructField]:
     return [df.schema[k] for k in keys]
 
@@ -133,8 +134,7 @@ def fit_trend(weekly_df: DataFrame, keys: list[str]) -> DataFrame:
         T.StructField("params", T.ArrayType(T.DoubleType())),
         T.StructField("sigma", T.DoubleType()),
     ])
-    src = weekly_df.select(*keys, "week", "spend", "revenue")
-    return src.groupBy(*keys).applyInPandas(_fit_trend_group(keys), schema)
+    return series_arrays(weekly_df.repartition(*keys), keys, ["spend", "revenue"]).mapInArrow(_fit_trend_batches(keys), schema)
 
 
 def _dot(features: Column, params: Column) -> Column:

@@ -43,7 +43,7 @@ def alone(rows, tau):
     return X @ beta
 
 
-@pytest.mark.parametrize("fit", [series_models.fit_quantile])
+@pytest.mark.parametrize("fit", [series_models.fit_trend, series_models.fit_quantile])
 def test_a_python_call_takes_a_batch_of_series(spark, fit):
     fitted = fit(weekly(spark), KEYS)
     plan = fitted._jdf.queryExecution().executedPlan().toString()
@@ -64,3 +64,13 @@ def test_quantile_batches_equal_single_series(spark):
         for level, tau in series_models.LEVELS.items():
             predicted = np.hstack([np.ones((len(own), 1)), z]) @ np.array(f[level])
             assert np.allclose(predicted, alone(own, tau), rtol=1e-6, atol=1e-4), (name, level)
+
+
+def test_trend_batches_equal_each_series_alone(spark):
+    df = weekly(spark)
+    together = sorted(series_models.fit_trend(df, KEYS).collect(), key=lambda r: r.campaign_id)
+    apart = [series_models.fit_trend(df.where(f"campaign_id = '{k}'"), KEYS).first() for k in sorted(WEEKS)]
+    assert together == apart
+    assert [len(r.params) for r in together] == [3, 3, 3 + 5, 3 + 5, 3 + 10 + 6, 3 + 5]
+    assert series_models.fit_trend(df.limit(0), KEYS).collect() == []
+    assert series_models.fit_quantile(df.limit(0), KEYS).collect() == []
