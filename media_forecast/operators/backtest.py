@@ -31,7 +31,6 @@ from .kpis import dated
 
 DEFAULT_HORIZON = 30
 DEFAULT_WINDOWS = 3
-AMOUNT = "decimal(18,6)"  # products of two stay exact in 38 digits
 
 
 def series_daily(df: DataFrame, keys: list[str], undated: Observation | None = None) -> DataFrame:
@@ -57,19 +56,19 @@ def running_totals(daily: DataFrame, keys: list[str], marks: str) -> DataFrame:
     it, so a partial last week needs no second look at its days.
     """
     k = ", ".join(f"`{c}`" for c in keys)
-    rows = daily.select(*keys, F.col("date").alias("day"), exact("spend").cast(AMOUNT).alias("x"),
-                        exact("revenue").cast(AMOUNT).alias("y"), F.max("date").over(Window.partitionBy(*keys)).alias("max_date"))
+    rows = daily.select(*keys, F.col("date").alias("day"), exact("spend").cast(models.AMOUNT).alias("x"),
+                        exact("revenue").cast(models.AMOUNT).alias("y"), F.max("date").over(Window.partitionBy(*keys)).alias("max_date"))
     own = "array(struct(day, CAST(NULL AS int) AS mark, x, y))"
-    zero = f"CAST(0 AS {AMOUNT})"
+    zero = f"CAST(0 AS {models.AMOUNT})"
     marked = f"transform({marks}, m -> struct(m.day AS day, CAST(m.mark AS int) AS mark, {zero} AS x, {zero} AS y))"
     rows = rows.selectExpr(*keys, f"inline(IF(day = max_date, concat({own}, {marked}), {own}))")
     # Both windows sort by (keys, week, day, mark): one shuffle on the series, one sort. Days come before marks of the day.
     so_far = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     in_week = f"(PARTITION BY {k}, week ORDER BY day, mark NULLS FIRST {so_far})"
     rows = rows.selectExpr("*", "CAST(date_trunc('week', day) AS date) AS week").selectExpr(
-        "*", f"CAST(sum(x) OVER {in_week} AS {AMOUNT}) AS wx", f"CAST(sum(y) OVER {in_week} AS {AMOUNT}) AS wy",
+        "*", f"CAST(sum(x) OVER {in_week} AS {models.AMOUNT}) AS wx", f"CAST(sum(y) OVER {in_week} AS {models.AMOUNT}) AS wy",
         f"count_if(mark IS NULL) OVER {in_week} AS wn")
-    before_x, before_y = f"CAST(wx - x AS {AMOUNT})", f"CAST(wy - y AS {AMOUNT})"
+    before_x, before_y = f"CAST(wx - x AS {models.AMOUNT})", f"CAST(wy - y AS {models.AMOUNT})"
     adds = {
         "rows": "IF(mark IS NULL, 1, 0)", "n_weeks": "IF(mark IS NULL AND wn = 1, 1, 0)", "sx": "x", "sy": "y",
         "sxx": f"wx * wx - {before_x} * {before_x}", "sxy": f"wx * wy - {before_x} * {before_y}", "syy": f"wy * wy - {before_y} * {before_y}",
@@ -121,18 +120,12 @@ def train_weekly(daily: DataFrame, keys: list[str], horizon: int = DEFAULT_HORIZ
 
 def fits(totals: DataFrame) -> DataFrame:
     """Rows of :func:`window_totals` with the model that their training weeks give."""
-    def centred(term: str) -> Column:
-        term = term.format(x=f"CAST(t.x - min_x AS {AMOUNT})", y=f"CAST(t.y - min_y AS {AMOUNT})")
-        return F.expr(f"CAST(aggregate(train, CAST(0 AS decimal(37,12)), (total, t) -> "
-                      f"CAST(total + CAST({term} AS decimal(36,12)) AS decimal(37,12))) AS double)")
-
     t = totals.filter(F.col("n_weeks") > 0).withColumns({
         "min_x": F.expr("array_min(train.x)"), "min_y": F.expr("array_min(train.y)"),
         **{c: F.col(c).cast("double") for c in ("sx", "sy", "sxx", "sxy", "syy")}})
-    t = models.with_line(t, {"cx": centred("{x}"), "cy": centred("{y}"), "cxx": centred("{x} * {x}"), "cxy": centred("{x} * {y}"), "cyy": centred("{y} * {y}")})
+    t = models.with_line(t, models.centred_moments("train"))
     ratios = F.transform("train", lambda w: models.ratio(w["x"].cast("double"), w["y"].cast("double")))
-    t = t.withColumn("ratios", F.array_sort(F.array_compact(ratios)))
-    return t.withColumns({f"r{int(round(q * 100))}": models.ratio_quantile(F.col("ratios"), q) for q in models.QUANTILES})
+    return models.banded(t.withColumn("ratios", F.sort_array(F.array_compact(ratios))))
 
 
 def runs(df: DataFrame, keys: list[str] | None = None, horizon: int = DEFAULT_HORIZON,

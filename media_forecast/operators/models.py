@@ -9,9 +9,9 @@ For every series (any key set) on its weekly rows:
 * ratio bands: P10 / P50 / P90 of ``revenue / fitted`` over weeks with a
   positive fit (linear interpolation between order statistics).
 
-All of it is one shuffle on the series keys: window sums give each row its
-series moments, a ranked window orders the ratios, and the final aggregate
-reuses that partitioning. Each series is bounded by its number of weeks.
+All of it is one shuffle on the series keys and one aggregate: exact moment
+sums and the array of a series' weeks, in which the ratios are ordered in
+place. Each series is bounded by its number of weeks.
 
 Horizon scoring of these models is pure column arithmetic (no Python), so a
 scenario table of any size joins the coefficients and is scored in place.
@@ -30,6 +30,7 @@ from .features import horizon_columns, weekly_spend
 INTERVAL_WIDTH = 0.75  # fixed value: width of the trend-model interval
 Z_INTERVAL = NormalDist().inv_cdf(0.5 + INTERVAL_WIDTH / 2)
 QUANTILES = (0.10, 0.50, 0.90)  # fixed values: quantile levels
+AMOUNT = "decimal(18,6)"  # products of two stay exact in 38 digits
 FLAT_TOLERANCE = 1e-9  # relative variance below which plain moments cancel
 
 
@@ -59,6 +60,15 @@ def spend_response_moments(weekly_df: DataFrame, keys: list[str]) -> DataFrame:
     return with_line(df).withColumn("ratio", ratio(F.col("spend"), F.col("revenue")))
 
 
+def centred_moments(train: str) -> dict[str, Column]:
+    """Moments of the differences from ``min_x`` and ``min_y``, from an array of weeks with ``x`` and ``y``; weeks without one add nothing."""
+    def centred(term: str) -> Column:
+        term = term.format(x=f"CAST(t.x - min_x AS {AMOUNT})", y=f"CAST(t.y - min_y AS {AMOUNT})")
+        return F.expr(f"CAST(aggregate({train}, CAST(0 AS decimal(37,12)), (total, t) -> "
+                      f"CAST(total + coalesce(CAST({term} AS decimal(36,12)), 0) AS decimal(37,12))) AS double)")
+    return {"cx": centred("{x}"), "cy": centred("{y}"), "cxx": centred("{x} * {x}"), "cxy": centred("{x} * {y}"), "cyy": centred("{y} * {y}")}
+
+
 def ratio(spend: Column, revenue: Column) -> Column:
     """Revenue over the fitted value, null where nothing positive is fitted."""
     fitted = F.col("intercept") + F.col("slope") * spend
@@ -99,34 +109,33 @@ def ratio_quantile(ordered: Column, q: float) -> Column:
     return F.when(m == 0, F.lit(1.0)).when(frac == 0, v_lo).otherwise(v_lo + frac * (v_hi - v_lo))
 
 
+def series_fits(weekly_df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per series: n_weeks, slope, intercept, sigma and ``ratios``, the ascending array of its ratios.
+
+    One aggregate takes the moments and the weeks of a series together; the
+    centred moments are taken from the array, and only where they are needed.
+    """
+    x, y = F.col("spend").cast(AMOUNT), F.col("revenue").cast(AMOUNT)
+    # Dealt by series, so that each gets its array in one place and the rows are not sorted by ratio.
+    rows = weekly_df.select(*keys, "spend", "revenue", x.alias("x"), y.alias("y")).repartition(*keys)
+    x, y = F.col("x"), F.col("y")
+    sums = {"sx": x, "sy": y, "sxx": x * x, "sxy": x * y, "syy": y * y}
+    series = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_weeks"), *[F.sum(e).cast("double").alias(c) for c, e in sums.items()],
+        F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.collect_list(F.struct("spend", "revenue", "x", "y")).alias("train"))
+    t = with_line(series, centred_moments("train"))
+    ratios = F.transform("train", lambda w: ratio(w["spend"], w["revenue"]))
+    return t.select(*keys, "n_weeks", "intercept", "slope", "sigma", F.sort_array(F.array_compact(ratios)).alias("ratios"))
+
+
 def fit_spend_response(weekly_df: DataFrame, keys: list[str], min_weeks: int = 4) -> DataFrame:
     """One row per series: n_weeks, intercept, slope, sigma, r10, r50, r90, eligible."""
-    m = spend_response_moments(weekly_df, keys)
-    ranked = m.select(
-        "*",
-        F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("ratio").asc_nulls_last())).alias("rn"),
-        F.count("ratio").over(Window.partitionBy(*keys)).alias("m"),
-    )
-    # Constant within a series, so max() just carries the value through.
-    aggs = [F.max(c).alias(c) for c in ("n_weeks", "intercept", "slope", "sigma", "m")]
-    parts = []
-    for q in QUANTILES:
-        tag = f"r{int(round(q * 100))}"
-        pos = F.lit(q) * (F.col("m") - F.lit(1)).cast("double")
-        lo = F.floor(pos)
-        aggs.append(F.max(F.when(F.col("rn") == lo + 1, F.col("ratio"))).alias(f"{tag}_lo"))
-        aggs.append(F.max(F.when(F.col("rn") == lo + 2, F.col("ratio"))).alias(f"{tag}_hi"))
-        parts.append((tag, q))
-    g = ranked.groupBy(*keys).agg(*aggs)
-    out = [*keys, "n_weeks", "intercept", "slope", "sigma"]
-    cols = []
-    for tag, q in parts:
-        pos = F.lit(q) * (F.col("m") - F.lit(1)).cast("double")
-        frac = pos - F.floor(pos)
-        v_lo, v_hi = F.col(f"{tag}_lo"), F.col(f"{tag}_hi")
-        val = F.when(F.col("m") == 0, F.lit(1.0)).when(frac == 0, v_lo).otherwise(v_lo + frac * (v_hi - v_lo))
-        cols.append(val.alias(tag))
-    return g.select(*out, *cols, (F.col("n_weeks") >= min_weeks).alias("eligible"))
+    return banded(series_fits(weekly_df, keys)).drop("ratios").withColumn("eligible", F.col("n_weeks") >= min_weeks)
+
+
+def banded(fits: DataFrame) -> DataFrame:
+    """``fits`` with the quantiles of their ratios."""
+    return fits.withColumns({f"r{int(round(q * 100))}": ratio_quantile(F.col("ratios"), q) for q in QUANTILES})
 
 
 def _clip0(c: Column) -> Column:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import nan_to_null, out_round
+from ..session import stored
 from . import models
 
 FULL_WEEKS = 12  # weeks from which on a series' own band stands alone
@@ -89,9 +90,10 @@ def pooled_bands(weekly_df: DataFrame, keys: list[str], pools: list[list[str]] |
     pools = POOLS if pools is None else pools
     if any(not set(up) <= set(low) for low, up in zip([keys, *pools], pools)):
         raise ValueError("every pool's keys must be among those of the one before")
-    ratios = models.spend_response_moments(weekly_df, keys)
-    own = models.fit_spend_response(weekly_df, keys)
-    joined, level = own, sketch(ratios, pools[0], accuracy=accuracy)
+    # One row per series, stored: its own band and the pools' sketches come from one fit.
+    fits = stored(models.series_fits(weekly_df, keys), "fits")
+    joined = models.banded(fits).drop("ratios")
+    level = stored(sketch(fits.select(*pools[0], F.explode("ratios").alias("ratio")), pools[0], accuracy=accuracy), "sketch")
     for i, pool in enumerate(pools):
         level = merge(level, pool) if i else level
         bands = quantiles(level, pool, accuracy=accuracy)

@@ -74,3 +74,30 @@ def test_empty_small_and_wrong_input(spark):
         pooled_bands.pooled_bands(df, KEYS, pools=[["channel"], ["campaign_type"]])
     with pytest.raises(ValueError):
         pooled_bands.growth(1.5)
+
+
+def test_one_fit_serves_bands_and_pools(spark):
+    df = weekly(spark, {("g", "s", "long"): 30, ("g", "s", "short"): 6, ("b", "s", "one"): 1})
+    result = pooled_bands.pooled_bands(df, KEYS)
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan  # the fit is stored, not planned once for each pool
+    own = models.fit_spend_response(df, KEYS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in own  # moments and ratios of a series come from one aggregate
+    rows = models.spend_response_moments(df, KEYS).where("ratio IS NOT NULL").collect()
+    for x in models.series_fits(df, KEYS).collect():
+        of = [r for r in rows if all(r[k] == x[k] for k in KEYS)]
+        assert x.ratios == sorted(r.ratio for r in of)
+        assert all((r.slope, r.intercept, r.sigma, r.n_weeks) == (x.slope, x.intercept, x.sigma, x.n_weeks) for r in of)
+
+
+def test_missing_amounts_add_nothing_to_a_fit(spark):
+    rows = [("Google", "a", i, s, r) for i, (s, r) in enumerate([(5.0, 9.0), (5.0, None), (None, 4.0), (5.000001, 11.0), (0.0, None)])]
+    rows += [("Google", "b", i, None, None) for i in range(3)] + [("Bing", None, 0, 2.0, 6.0)]
+    df = spark.createDataFrame(rows, "channel string, campaign_id string, week int, spend double, revenue double")
+    keys = ["channel", "campaign_id"]
+    was = {(x.channel, x.campaign_id): x for x in models.spend_response_moments(df, keys).collect()}
+    now = models.fit_spend_response(df, keys).collect()
+    assert len(now) == len(was) == 3
+    for x in now:
+        w = was[x.channel, x.campaign_id]
+        assert (x.n_weeks, x.slope, x.intercept, x.sigma) == (w.n_weeks, w.slope, w.intercept, w.sigma)
