@@ -117,3 +117,18 @@ def test_hot_month_is_split(spark, tmp_path):
     hot = month_store.rows_of(spark, root, ["2024-01"])
     assert hot.count() == n // 3 and len(hot.inputFiles()) > 1
     assert month_store.rows_of(spark, root).count() == n
+
+
+def test_sums_are_written_as_one_file_a_month(spark, tmp_path):
+    """Without it each task of the aggregate writes a file for each of its months and channels."""
+    rows = [(D(2023, m, 1 + k), ch, f"{ch}{k}", 1.0, 2.0) for m in range(1, 13) for k in range(20) for ch in ("Google", "Meta")]
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")  # as with more data than fits one task
+    try:
+        made = month_store.deliver(frame(spark, rows), str(tmp_path / "s"))
+    finally:
+        spark.conf.set(key, "true")
+    assert made["rows"] == len(rows) and len(made["partitions"]) == 24
+    files = list((tmp_path / "s" / "checks").rglob("*.parquet"))
+    assert len(files) == 24 and len({f.parent for f in files}) == 24
+    assert month_store.checks_of(spark, str(tmp_path / "s")).count() == len(rows)
