@@ -561,3 +561,16 @@ def test_pipeline(spark, docs):
 
 def test_queries_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", q).group(1)) for q in queries.QUERIES) == list(range(1, 11))
+
+
+def test_ids_for_packing_are_the_librarys():
+    path = public_tokenizers.path(bpe.VOCAB)
+    library = bpe.Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    v = bpe.Vocabulary(path, with_text=False)
+    assert v.model is not None  # pieces are merged by the library's model, in less than half the time of the search
+    texts = [None, "", " ", "Hello, world!", "Ünïcode ǅ İstanbul 中文 مرحبا 🙂🙂", "a\x00b\x01c\x7f \x85 x\xa0y\x1cz\xad", "denschgezutz quecióntaiemi $$$ patre,$$$ it's WE'LL 12345",
+             "<|endoftext|>x <|nope|> a<|endoftext|>", "x" * 300, "é" * 200 + "1" * 70, *(chr(c) + "a" + chr(c) for c in range(0, 0x3000, 7))]
+    for t in texts:
+        assert v.encode(t).tolist() == library.encode(t or "", add_special_tokens=False).ids, repr(t)
