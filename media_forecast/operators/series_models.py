@@ -84,7 +84,7 @@ def series_arrays(weekly_df: DataFrame, keys: list[str], columns: list[str]) ->
     A series is bounded by the calendar, so the arrays are too.
     """
     day = F.unix_date(F.col("week").cast("date")).alias("week")
-    rows = F.array_sort(F.collect_list(F.struct(day, *[F.col(c).cast("double").alias(c) for c in columns])))
+    rows = F.sort_array(F.collect_list(F.struct(day, *[F.col(c).cast("double").alias(c) for c in columns])))
     one = weekly_df.groupBy(*keys).agg(rows.alias("__rows"))
     return one.select(*keys, *[F.col(f"__rows.{c}").alias(f"__{c}") for c in ("week", *columns)])
 
