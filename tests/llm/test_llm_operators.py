@@ -560,7 +560,7 @@ def test_pipeline(spark, docs):
 
 
 def test_queries_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", q).group(1)) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q).group(1)) for q in queries.QUERIES) == list(range(1, 14))
 
 
 def test_ids_for_packing_are_the_librarys():
