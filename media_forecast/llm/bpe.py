@@ -6,7 +6,8 @@ that is a token, and a pair check. Two adjacent tokens are compatible if no
 merge of lower rank would have joined symbols across their border. Greedy
 longest matches that back off to shorter ones on an incompatible border give
 exactly the ids that merging in rank order gives, in time linear in the word.
-Decoding slices one text buffer by an offset table.
+Decoding slices one text buffer by an offset table; the texts of all ids of a
+document, and their decimal forms, are taken from such tables at once.
 
 Text rules of the vocabulary file (word ends, lower case, white space dropped):
 NFC, lower case by code point, words split at white space and by letter runs,
@@ -30,6 +31,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
@@ -40,6 +42,8 @@ from media_forecast.shipping import ship_package
 VOCAB = "word_bpe_49k.json"
 CACHE_WORDS = 600_000  # words remembered by a worker; memory bound only
 CACHE_PIECES, CACHED_LENGTH = 200_000, 64  # their lower-case pieces, and the signs of a word or piece that is remembered
+SEARCHED_PIECES = 600_000  # the search takes longer than the library's model: three times as many of its results are remembered
+WINDOW = 512  # signs of a long word that are matched again at a time, so that its time stays linear
 # The split pattern and the white space of the vocabulary file.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_PIECES = regex.compile(PIECES)
@@ -60,9 +64,6 @@ def byte_signs() -> list[str]:
     return [chr(b) if b in keep else chr(next(others)) for b in range(256)]
 
 
-NOTHING = (b"", "", "")
-
-
 class Remembered(dict):
     """Values of ``make(key)``, kept up to a memory bound and then forgotten at once."""
 
@@ -97,6 +98,9 @@ class Vocabulary:
         texts = [names[i] for i in range(max(names) + 1)]
         self.buffer = "".join(texts)
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).tolist()
+        # The same as bytes with a space before each, and the decimal ids likewise.
+        self.spaced_texts = pa.array([f" {t}".encode() for t in texts], pa.large_binary())
+        self.spaced_ids = pa.array([b" %d" % i for i in range(len(texts))], pa.large_binary())
         # Inner alphabet: one character per base symbol, the word-end form of byte b is b + 256.
         self.signs = byte_signs()
         self.sign_table = dict(enumerate(self.signs))
@@ -120,22 +124,22 @@ class Vocabulary:
             x, y, z = vocab[a], vocab[b], vocab[a + b]
             self.joined[x, y] = z
             self.left[z], self.right[z], self.rank[z] = x, y, r
-        self.id_of, self.length = id_of, {i: len(w) for i, w in word_of.items()}
+        self.id_of, self.length = id_of, [0] * len(texts)
+        self.longest = max(map(len, id_of))
         self.pairs: dict[tuple[int, int], bool] = {}
         self.matcher = ahocorasick.Automaton()
         for w, i in id_of.items():
-            self.matcher.add_word(w, (len(w), i))
+            self.matcher.add_word(w, i)
         self.matcher.make_automaton()
         # Longest proper prefix that is a token.
-        self.shorter: dict[int, int] = {}
+        self.shorter: list[int | None] = [None] * len(texts)
         for i, w in word_of.items():
+            self.length[i] = len(w)
             for n in range(len(w) - 1, 0, -1):
                 if (j := id_of.get(w[:n])) is not None:
                     self.shorter[i] = j
                     break
-        self.words: dict[str, tuple] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.raw_pieces = Remembered(self._raw_piece, CACHE_PIECES)
+        self.raw_pieces = Remembered(self._raw_piece, SEARCHED_PIECES if self.model is None else CACHE_PIECES)
         self.raw_words = Remembered(self._raw_word)
 
     def compatible(self, x: int, y: int) -> bool:
@@ -171,48 +175,61 @@ class Vocabulary:
     def encode_symbols(self, word: str) -> list[int]:
         """Ids of one word in the inner alphabet: greedy longest matches, backtracking from the first bad border."""
         pairs, compatible = self.pairs, self.compatible
-        ids = [i for _, (_, i) in self.matcher.iter_long(word)]
-        for k in range(len(ids) - 1):
-            ok = pairs.get((ids[k], ids[k + 1]))
-            if not (compatible(ids[k], ids[k + 1]) if ok is None else ok):
-                return self._backtrack(word, ids[: k + 1])
+        ids = [i for _, i in self.matcher.iter_long(word)]
+        before = ids[0]
+        for k in range(1, len(ids)):
+            token = ids[k]
+            ok = pairs.get((before, token))
+            if not (compatible(before, token) if ok is None else ok):
+                return self._backtrack(word, ids[:k], token)
+            before = token
         return ids
 
-    def _backtrack(self, word: str, ids: list[int]) -> list[int]:
-        """Goes on from ids, a compatible run of longest matches whose next longest match does not fit."""
-        n, length, shorter = len(word), self.length, self.shorter
+    def _backtrack(self, word: str, ids: list[int], token: int) -> list[int]:
+        """Goes on from ids, a compatible run of longest matches; token is the next longest match, which does not fit."""
+        n, length, shorter, iter_long = len(word), self.length, self.shorter, self.matcher.iter_long
         pairs, compatible = self.pairs, self.compatible
         dead: set[int] = set()  # places proven to lead nowhere
         pos = sum([length[i] for i in ids])
-        token = self._longest_at(word, pos)
+        before = ids[-1]
         while True:
-            end = pos + length[token]
-            if end not in dead:
-                ok = True
-                if ids:
-                    ok = pairs.get((ids[-1], token))
-                    if ok is None:
-                        ok = compatible(ids[-1], token)
-                if ok:
-                    ids.append(token)
-                    pos = end
-                    if pos == n:
-                        return ids
-                    token = self._longest_at(word, pos)
-                    continue
-            nxt = shorter.get(token)
-            while nxt is None:
+            # The token at this place does not fit: a shorter one is tried.
+            token = shorter[token]
+            while token is None:
                 # Nothing shorter starts here: the place is dead, take back the token before.
                 dead.add(pos)
                 token = ids.pop()
                 pos -= length[token]
-                nxt = shorter.get(token)
-            token = nxt
-
-    def _longest_at(self, word: str, pos: int) -> int:
-        for _, (_, i) in self.matcher.iter_long(word, pos):
-            return i
-        raise ValueError("no token starts here")
+                before = ids[-1] if ids else None
+                token = shorter[token]
+            end = pos + length[token]
+            if end in dead:
+                continue
+            if before is not None:
+                ok = pairs.get((before, token))
+                if not (compatible(before, token) if ok is None else ok):
+                    continue
+            ids.append(token)
+            pos, before = end, token
+            # Longest matches again from here, up to one that does not fit. A window does not tell the longest match near its end.
+            fits = True
+            while fits and pos < n:
+                known = n if pos + WINDOW >= n else pos + WINDOW - self.longest
+                for _, token in iter_long(word[pos: pos + WINDOW]):
+                    if pos > known:
+                        break
+                    end = pos + length[token]
+                    fits = end not in dead
+                    if fits:
+                        fits = pairs.get((before, token))
+                        if fits is None:
+                            fits = compatible(before, token)
+                    if not fits:
+                        break
+                    ids.append(token)
+                    pos, before = end, token
+            if fits:
+                return ids
 
     def _whole(self, i: int) -> bool:
         """A token is the encoding of its own text if its two parts are, and merge last."""
@@ -260,57 +277,53 @@ class Vocabulary:
         found = self._split(word)
         return self.raw_pieces[found[0]] if len(found) == 1 else b"".join([self.raw_pieces[p] for p in found])
 
-    def _lookup(self, word: str) -> tuple:
-        """(ids as little-endian uint32 bytes, decimal ids, decoded text) of one white-space-free word."""
-        ids: list[int] = []
-        for piece in self._split(word):
-            got = self.pieces.get(piece)
-            if got is None:
-                got = self._encode_piece(piece)
-                if len(piece) <= CACHED_LENGTH:
-                    if len(self.pieces) >= CACHE_PIECES:
-                        self.pieces.clear()
-                    self.pieces[piece] = got
-            ids += got
-        out = NOTHING
-        if ids:
-            raw = pack(f"<{len(ids)}I", *ids)
-            out = (raw, " ".join(map(str, ids)), self.decode(ids)) if self.with_text else (raw, "", "")
-        if len(word) <= CACHED_LENGTH:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            self.words[word] = out
+    def _raw_parts(self, text: str) -> list[bytes]:
+        """The id bytes of the words and special tokens of any text, in text order."""
+        out: list[bytes] = []
+        for k, run in enumerate(self.special_re.split(text) if "<|" in text else [text]):
+            if k % 2:
+                out.append(pack("<I", self.special[run]))
+            else:
+                out += [self.raw_words[w] for w in (SPACES.split(run) if ODD_SPACE.search(run) else run.split()) if w]
         return out
 
     def parts(self, text: str | None) -> list[tuple]:
         """Per word with ids: (id bytes, decimal ids, decoded text), in text order."""
         out: list[tuple] = []
-        get, words = self.words.get, self.words
-        for k, run in enumerate(self.special_re.split(text) if "<|" in (text or "") else [text or ""]):
-            if k % 2:
-                i = self.special[run]
-                out.append((pack("<I", i), str(i), self.decode([i])))
-                continue
-            for w in SPACES.split(run) if ODD_SPACE.search(run) else run.split():
-                got = get(w) or (self._lookup(w) if w else NOTHING)
-                if got[0]:
-                    out.append(got)
+        for raw in self._raw_parts(text or ""):
+            if raw:
+                ids = np.frombuffer(raw, "<u4").tolist()
+                out.append((raw, " ".join(map(str, ids)), self.decode(ids)))
         return out
 
     def id_bytes(self, text: str | None) -> bytes:
         """The ids as little-endian uint32."""
-        if text and "<|" not in text and not ODD_SPACE.search(text):
+        if not text:
+            return b""
+        if "<|" not in text and not ODD_SPACE.search(text):
             return b"".join(map(self.raw_words.__getitem__, text.split()))
-        return b"".join([p[0] for p in self.parts(text)])
+        return b"".join(self._raw_parts(text))
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.id_bytes(text), "<u4")
 
+    def written(self, ids: np.ndarray) -> tuple[memoryview, memoryview]:
+        """The decimal ids and the decoded text, each joined by one space, as UTF-8."""
+        at = pa.array(ids)
+        return _joined(self.spaced_ids.take(at)), _joined(self.spaced_texts.take(at))
+
     def decode(self, ids) -> str:
         buf, off = self.buffer, self.offsets
         return " ".join([buf[off[i]: off[i + 1]] for i in ids])
 
 
+def _joined(spaced: pa.LargeBinaryArray) -> memoryview:
+    """The items one behind another, as they lie in the array's buffer, without the first one's space."""
+    _, offsets, data = spaced.buffers()
+    ends = np.frombuffer(offsets, "<i8")[spaced.offset: spaced.offset + len(spaced) + 1]
+    return memoryview(data)[ends[0] + 1: ends[-1]] if len(spaced) else memoryview(b"")
+
+
 def vocabulary(path: str, with_text: bool = True) -> Vocabulary:
     """The vocabulary, loaded once per worker process."""
     return kept_by_worker("bpe", (path, with_text), lambda: Vocabulary(path, with_text))
@@ -325,10 +338,11 @@ def digests(docs: DataFrame, vocab: str = VOCAB) -> DataFrame:
         for b in batches:
             n, ids, dec = [], [], []
             for t in b["text"]:
-                parts = v.parts(t)
-                n.append(sum(len(p[0]) for p in parts) // 4)
-                ids.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
-                dec.append(hashlib.sha256(" ".join([p[2] for p in parts]).encode("utf-8")).hexdigest())
+                found = v.encode(t)
+                decimal, decoded = v.written(found)
+                n.append(len(found))
+                ids.append(hashlib.sha256(decimal).hexdigest())
+                dec.append(hashlib.sha256(decoded).hexdigest())
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": dec})
 
     return docs.select("doc_id", "text").mapInPandas(

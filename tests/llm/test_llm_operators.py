@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -574,3 +575,50 @@ def test_ids_for_packing_are_the_librarys():
              "<|endoftext|>x <|nope|> a<|endoftext|>", "x" * 300, "é" * 200 + "1" * 70, *(chr(c) + "a" + chr(c) for c in range(0, 0x3000, 7))]
     for t in texts:
         assert v.encode(t).tolist() == library.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
+def test_bpe_written_ids_and_text():
+    """The digests' bytes come from tables of all ids, equal to what single ids give."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(bpe.VOCAB)
+    lib, own = Tokenizer.from_file(path), bpe.Vocabulary(path)
+    for t in [None, "", " \n", "x\x1cy <|endoftext|>z<|endoftext|>", *random_texts(600, 6)]:
+        want = lib.encode(t or "", add_special_tokens=False).ids
+        decimal, decoded = own.written(own.encode(t))
+        assert bytes(decimal).decode() == " ".join(map(str, want)), t
+        assert bytes(decoded).decode() == lib.decode(want, skip_special_tokens=False), t
+
+
+def test_bpe_searches_a_piece_once(monkeypatch):
+    """More pieces than the 200,000 that were remembered before: met again in other words, they are not searched again."""
+    monkeypatch.setattr(bpe.Vocabulary, "_encode_piece", lambda self, piece: searched.update([piece]) or [7])
+    own, searched = bpe.Vocabulary(public_tokenizers.path(bpe.VOCAB)), Counter()
+    pieces = [a + b + c + d for a in string.ascii_lowercase for b in string.ascii_lowercase for c in string.ascii_lowercase for d in "abcdefghijklmn"]
+    assert len(pieces) > 240_000
+    for end in ("", "."):
+        own.encode(" ".join(p + end for p in pieces))
+    assert max(searched.values()) == 1 and len(searched) == len(pieces) + 1
+
+
+def test_bpe_long_words_in_windows():
+    """Words far longer than a window, with many places where the longest match does not fit."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(bpe.VOCAB)
+    lib, own = Tokenizer.from_file(path), bpe.Vocabulary(path)
+    r = random.Random(7)
+    for alphabet in ("restanhaingly", "ab", "étheinü日"):
+        for n in (bpe.WINDOW - 1, bpe.WINDOW, bpe.WINDOW + 1, 2 * bpe.WINDOW + 3, 6000):
+            t = "".join(r.choice(alphabet) for _ in range(n))
+            assert own.encode(t).tolist() == lib.encode(t, add_special_tokens=False).ids
+    cut = []  # the search reads windows, not the whole word again behind each place
+
+    class Matcher:
+        def iter_long(self, word):
+            cut.append(len(word))
+            return matcher.iter_long(word)
+
+    matcher, own.matcher = own.matcher, Matcher()
+    own.encode("restanhainglyü" * 1000)
+    assert len(cut) > 100 and max(cut[1:]) <= bpe.WINDOW
